@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, sharding, token_files
+from . import decontaminate, langid, mixing, pii, secrets, sharding, simhash, substring, token_files, topk
 from .common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("whole_copies")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = sharding.even_tree(40)
     return sharding.place(_table(spark, sf_dir, "documents"), tree, sharding.grown(tree))
@@ -37,8 +42,34 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (the source as host) and pages in one, so that both have all evidence there is."""
+    docs = _table(spark, sf_dir, "documents")
+    of_docs = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+    of_pages = langid.page_evidence(_table(spark, sf_dir, "pages")).select(F.lit(None).cast("long").alias("doc_id"), "page_id", "text", "declared", "host")
+    return langid.identify(of_docs.unionByName(of_pages), langid.fit(docs), ["doc_id", "page_id"])
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where("vec_id % 20 = 0"), k=20, scale=64)
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secrets.report(secrets.findings(docs, secrets.scan(docs)))
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_token_files, op2_mixing, op4_sharding, op5_decontamination)
+    own = (op1_token_files, op2_mixing, op3_simhash, op4_sharding, op5_decontamination, op6_language_id, op7_top_k, op8_pii, op9_substring_dedup, op10_secrets)
     return {f.__name__: f for f in own}
 
 
