@@ -1,0 +1 @@
+"""E-mail as DataFrames: raw RFC 5322 / MIME bytes to headers, typed fields, part trees and bodies, and back."""
