@@ -20,10 +20,12 @@ repeated task has the same rows and so writes the same files.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -41,33 +43,48 @@ def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
-class Encoder:
-    """Ids of whole texts as bytes.
+class Encoder(dict):
+    """Ids of whole texts as bytes; maps chunks of text to theirs.
 
     The vocabulary's pre-tokenizer drops white space and never joins across it, and its normalizer works
     on each character or combining sequence. So the ids of a text are those of its chunks between
-    spaces and line breaks, and a chunk seen before needs no second encoding.
+    spaces and line breaks, and a chunk seen before needs no second encoding. Nor does one that ends in a
+    mark after a letter or digit, which starts a piece of its own, or one of Latin-1 in upper case.
     """
 
     def __init__(self, path: str, width: int) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer, self.kind = Tokenizer.from_file(path), np.dtype(f"<u{width}")
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        chunks = [x.replace("\n", " ").split(" ") if x else [] for x in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({c for own in chunks for c in own} - self.known.keys())
-        long: dict[str, bytes] = {}
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (self.known if len(c) <= LONGEST else long)[c] = np.array(e.ids, self.kind).tobytes()
-        if not long:
-            return [b"".join(map(self.known.__getitem__, own)) for own in chunks]
-        return [b"".join(long[c] if c in long else self.known[c] for c in own) for own in chunks]
+        with open(path, encoding="utf-8") as f:
+            self.lower = {"type": "Lowercase"} in (json.load(f)["normalizer"] or {}).get("normalizers", [])
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(chunk) > 1 and chunk[-1] in ".,;:!?" and chunk[-2].isalnum():
+            ids = self[chunk[:-1]] + self[chunk[-1]]
+        else:
+            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
+        if len(chunk) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if self.lower and "<|" not in text:
+            with contextlib.suppress(UnicodeEncodeError):
+                text.encode("latin-1")
+                text = text.lower()
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+@lru_cache(1)
+def encoder(path: str, width: int) -> Encoder:
+    """The worker process's encoder: later tasks find the chunks of earlier ones."""
+    return Encoder(path, width)
 
 
 def id_width(tokenizer_path: str, end_id: int) -> int:
@@ -90,7 +107,7 @@ def write_token_files(df: DataFrame, out: str, tokenizer_path: str, end_id: int
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, own = TaskContext.get().partitionId(), uuid.uuid4().hex
         fs, root = _fs(out)
-        encoder, end = Encoder(tokenizer_path, width), np.array([end_id], f"<u{width}").tobytes()
+        encode, end = encoder(tokenizer_path, width).encode, np.array([end_id], f"<u{width}").tobytes()
         name, temporary = f"{root}/shard-{k:06d}", f"{root}/.{own}-{k:06d}"
         ids: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
@@ -99,7 +116,7 @@ def write_token_files(df: DataFrame, out: str, tokenizer_path: str, end_id: int
             for b in batches:
                 for at in range(0, b.num_rows, 256):
                     part = b.slice(at, 256)
-                    got = encoder.encode(part.column(1).to_pylist())
+                    got = [encode(x.as_py()) for x in part.column(1)]
                     tok.write(b"".join(x + end for x in got))
                     sizes.append(np.array([len(x) // width + 1 for x in got], "<u8"))
                     nulls += part.column(0).null_count
