@@ -55,9 +55,8 @@ def encode_quoted_printable(text: Column) -> Column:
     """Text (LF line ends) as lines of at most 76 characters with CRLF between them; soft breaks never cut an escape."""
     lines = F.transform(F.split(text, "\n", -1), lambda x: _escape(x, r"\x21-\x3C\x3E-\x7E "))
     ends = F.transform(lines, lambda x: F.regexp_replace(x, " $", "=20"))
-    # an escape is one unit; a unit that would pass column 75 starts the next line
-    broken = F.transform(ends, lambda x: F.regexp_replace(x, r"((?:=[0-9A-F]{2}|[^=]){1,25})(?=.)", "$1\u0001"))
-    wide = F.transform(broken, lambda x: F.regexp_replace(x, "\u0001", "=\r\n"))
+    # of a line over 76, the first 75 go, or up to two fewer so that no escape is cut
+    wide = F.transform(ends, lambda x: F.regexp_replace(x, r"(?=.{77})(.{75}(?<!=)(?<!=[0-9A-F])|.{74}(?<!=)|.{73})", "$1=\r\n"))
     return F.array_join(wide, "\r\n")
 
 
