@@ -39,10 +39,15 @@ def _marked(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: in
     return df.withColumns({
         "_mix_size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"),
         "_mix_key": F.coalesce(F.concat(F.lit("s"), source), F.lit("n")),
-        "_mix_hash": F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), source),
+        "_mix_hash": F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"), source, F.col(text_col))),
     })
 
 
+def _number(digest: Column) -> Column:
+    """The first 32 bits of a digest."""
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
 def targets(sizes: DataFrame, share: float, repeats: int, weights: tuple[int, ...]) -> DataFrame:
     """sizes (key, source, words) with weight and target of each source.
 
@@ -75,7 +80,7 @@ def mix(df: DataFrame, share: float = 1.5, repeats: int = 2, weights: tuple[int,
     shards = power_of_two(math.sqrt(total) / 16, 1 << 20)
     block = power_of_two((least or 1) / (256 * shards), 2048)
 
-    shard = F.pmod("_mix_hash", F.lit(shards))
+    shard = F.pmod(_number(F.col("_mix_hash")), F.lit(shards))
     cells = slim.groupBy("_mix_key", shard.alias("_mix_shard")).agg(F.sum("_mix_size").alias("cell"))
     cells = cells.join(of.select(F.col("key").alias("_mix_key"), F.col("words").alias("source_size"), "target"), "_mix_key")
     votes = F.col("target") * F.col("cell") / F.greatest("source_size", F.lit(1))
@@ -84,7 +89,7 @@ def mix(df: DataFrame, share: float = 1.5, repeats: int = 2, weights: tuple[int,
     cells = cells.withColumn("quota", seats).withColumns({
         "rounds": F.floor(F.col("quota") * block / ring),
         "rest": F.pmod(F.col("quota") * block, ring),
-        "first": F.pmod(F.xxhash64(F.lit(seed), "_mix_key", "_mix_shard"), ring),
+        "first": F.pmod(_number(F.md5(F.concat_ws("|", F.lit(str(seed)), "_mix_key", F.col("_mix_shard").cast("string")))), ring),
     })
 
     placed = marked.withColumn("_mix_shard", shard).join(cells.withColumnsRenamed({x: f"_mix_{x}" for x in ("cell", "source_size", "target", "quota", "rounds", "rest", "first")}), ["_mix_key", "_mix_shard"])

@@ -97,7 +97,7 @@ def place(df: DataFrame, tree: list[Leaf], larger: list[Leaf], id_col: str = "do
     buckets = power_of_two(math.sqrt(n) / 8, 1 << 20)
     same = same.withColumns({
         "shard": shard_of(F.col("doc_id"), tree, seed), "grown_shard": shard_of(F.col("doc_id"), larger, seed),
-        "bucket": F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(buckets)),
+        "bucket": F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_crc32").cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(buckets)),
     })
     full = same.groupBy("shard", "bucket").agg(F.sum("same").alias("rows"))
     before = full.select("shard", "bucket", (F.sum("rows").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("rows")).alias("before"))
