@@ -96,3 +96,20 @@ def same(a: Column, b: Column, case_sensitive: bool = False) -> Column:
     text = (lambda x: x) if case_sensitive else F.lower
     key = lambda m: F.struct(text(F.coalesce(m["name"], F.lit(""))), text(render_local(m["local"])), F.lower(render_domain(m["domain"])))
     return key(a) == key(b)
+
+
+def with_name(m: Column, name: Column) -> Column:
+    """The mailbox under another display name."""
+    return m.withField("name", name)
+
+
+def same_address(a: Column, b: Column, case_sensitive: bool = False) -> Column:
+    """Equal addresses: a group is no mailbox; groups are equal in name and members, in order."""
+    text = (lambda x: x) if case_sensitive else F.lower
+    members = lambda x: F.transform(x["mailboxes"], lambda m: F.struct(text(F.coalesce(m["name"], F.lit(""))), text(render_local(m["local"])), F.lower(render_domain(m["domain"]))))
+    return (a["tag"] == b["tag"]) & text(F.coalesce(a["group"], F.lit(""))).eqNullSafe(text(F.coalesce(b["group"], F.lit("")))) & (members(a) == members(b))
+
+
+def message_id(local_part: Column, at: Column) -> Column:
+    """<local@domain>; null where the domain is an IP literal or a part is null."""
+    return F.when(at["tag"].isin("Domain", "Literal"), F.concat(F.lit("<"), render_local(local_part), F.lit("@"), render_domain(at), F.lit(">")))

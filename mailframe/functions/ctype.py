@@ -149,6 +149,56 @@ def render(ctype: Column) -> Column:
     return let(ctype, text)
 
 
+# -- types, subtypes and parameters by themselves --------------------------------------------------------------------
+
+
+def type_of_string(text: Column) -> Column:
+    """A type's name: one of the seven in lower case, another token as it is, null for no token."""
+    return F.when(F.lower(text).isin(*DISCRETE, *COMPOSITE), F.lower(text)).when(is_token(text), text)
+
+
+def extension(text: Column) -> Column:
+    """A name of one's own: X- before a token; null for other text."""
+    return F.when(text.rlike("^[xX]-") & is_token(text) & (F.length(text) > 2), text)
+
+
+def subtype_iana(ty: Column, text: Column, more: tuple[str, ...] = ()) -> Column:
+    """The registered subtype, or null."""
+    return registered(ty, text, more)
+
+
+def key(text: Column) -> Column:
+    """A parameter's name in lower case; null for no token."""
+    return F.when(is_token(text), F.lower(text))
+
+
+def value(text: Column) -> Column:
+    """A parameter's value with its tag: Token, or String for any other UTF-8; null for what is none."""
+    return F.when(F.is_valid_utf8(text), F.struct(F.when(is_token(text), "Token").otherwise("String").alias("tag"), text.alias("value")))
+
+
+def of_map(params: Column) -> Column:
+    """A map of parameters as the list in order of names."""
+    return F.transform(F.array_sort(F.map_entries(params)), lambda e: F.struct(e["key"].alias("key"), F.when(is_token(e["value"]), "Token").otherwise("String").alias("tag"), e["value"].alias("value")))
+
+
+def param_add(params: Column, name: str, text: Column) -> Column:
+    """The map with a parameter set."""
+    return F.map_concat(param_remove(params, name), F.create_map(F.lit(name.lower()), text))
+
+
+def param_remove(params: Column, name: str) -> Column:
+    return F.map_filter(params, lambda k, _: k != name.lower())
+
+
+def param_mem(params: Column, name: str) -> Column:
+    return F.map_contains_key(params, name.lower())
+
+
+def param_find(params: Column, name: str) -> Column:
+    return F.try_element_at(params, F.lit(name.lower()))
+
+
 # -- transfer encodings ------------------------------------------------------------------------------------------
 
 

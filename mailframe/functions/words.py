@@ -105,6 +105,16 @@ def make_word(text: Column, encoding: str = "B", charset: str = "UTF-8") -> Colu
     return F.concat(F.lit(f"=?{charset}?{encoding.upper()}?"), inner, F.lit("?="))
 
 
+def is_normalized(word: Column) -> Column:
+    """Whether the word's data could be decoded."""
+    return word["data"].isNotNull()
+
+
+def same_word(a: Column, b: Column) -> Column:
+    """Equal charset, encoding and data; any two errors are equal."""
+    return (F.lower(a["charset"]) == F.lower(b["charset"])) & (a["encoding"] == b["encoding"]) & a["data"].eqNullSafe(b["data"])
+
+
 def register(spark: SparkSession) -> None:
     """The functions as SQL functions: mail_addresses, mail_mailboxes, mail_decode_words, mail_strip_comments, mail_fold."""
     for name, f, kind in (

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import address, codec, ctype, dates, fields, registry, words
+from ..functions import address, codec, ctype, dates, fields, registry, text, words
 from ..operators import generate, headers, mime
 from . import synth
 from .synth import table
@@ -496,6 +496,42 @@ def ia1_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.coalesce("subty", F.lit("html")).alias("subty"), F.col("subty").isNotNull().alias("known"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, t AS given, CASE WHEN k < 2 THEN lower(t) WHEN k < 4 THEN t END AS named, CASE WHEN k = 3 THEN t END AS own, CASE WHEN k = 0 THEN 'html' END AS registered FROM lineitem JOIN (VALUES (0,'TEXT'),(1,'Multipart'),(2,'font'),(3,'x-mine'),(4,'no token')) v(k,t) ON l_partkey % 5 = k""")
+def ct10_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of types, of one's own, and registered subtypes (CT10, CT11)."""
+    t = F.col("given")
+    r = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", synth.pick(("TEXT", "Multipart", "font", "x-mine", "no token"), "l_partkey").alias("given"))
+    return r.select("*", ctype.type_of_string(t).alias("named"), ctype.extension(t).alias("own"), ctype.subtype_iana(t, F.lit("HTML")).alias("registered"))
+
+
+@query("""SELECT c_custkey, 'name' AS k, TRUE AS bad_key, 'String' AS tag, TRUE AS has, FALSE AS had, c_name AS found, 'name='||c_name||'|size=1' AS listed FROM customer""")
+def ct13_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps of parameters: names, values, adding, removing, finding, listing (CT12, CT13)."""
+    m = F.create_map(F.lit("size"), F.lit("0"), F.lit("gone"), F.lit("x"))
+    m = ctype.param_remove(ctype.param_add(ctype.param_add(m, "Size", F.lit("1")), "NAME", F.col("c_name")), "Gone")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", m.alias("m"))
+    listed = F.array_join(F.transform(ctype.of_map(F.col("m")), lambda p: F.concat(p["key"], F.lit("="), p["value"])), "|")
+    return c.select("c_custkey", ctype.key(F.lit("NaMe")).alias("k"), ctype.key(F.col("c_name").substr(1, 0)).isNull().alias("bad_key"), ctype.value(_cat(F.col("c_name"), " (")).getField("tag").alias("tag"), ctype.param_mem(F.col("m"), "name").alias("has"), ctype.param_mem(F.col("m"), "gone").alias("had"), ctype.param_find(F.col("m"), "Name").alias("found"), listed.alias("listed"))
+
+
+@query("SELECT n_nationkey, TRUE AS same_group, FALSE AS group_is_mailbox, FALSE AS other_member, n_name||' II' AS renamed FROM nation")
+def ad5_address_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and mailboxes compared; a mailbox under another name (AD5, AD6)."""
+    a = lambda *p: words.addresses(_cat(*p))[0]
+    n = F.col("n_name")
+    t = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", a(n, ": a@b.example;").alias("x"), a(F.lower(n), ": A@B.Example;").alias("y"), a(n, " <a@b.example>").alias("m"), a(n, ": c@b.example;").alias("z"))
+    x, same = F.col("x"), address.same_address
+    return t.select("n_nationkey", same(x, F.col("y")).alias("same_group"), same(x, F.col("m")).alias("group_is_mailbox"), same(x, F.col("z")).alias("other_member"), address.with_name(F.col("m")["mailboxes"][0], _cat(n, " II"))["name"].alias("renamed"))
+
+
+@query("SELECT conv_id, turn, '<c'||conv_id||'.'||turn||'@'||role||'.example>' AS made, TRUE AS ip_is_null FROM conversations")
+def id3_make(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Message ids from their parts (ID3, ID4)."""
+    local = address.local(_cat("c", F.col("conv_id")), F.col("turn").cast("string"))
+    made = address.message_id(local, address.domain(_cat(F.col("role"), ".example")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", made.alias("made"), address.message_id(local, address.ipv4(F.lit("10.0.0.1"))).isNull().alias("ip_is_null"))
+
+
 # -- encoded words and text --------------------------------------------------------------------------------------
 
 
@@ -537,6 +573,16 @@ def ue1_unstructured_with_encoded(spark: SparkSession, sf_dir: str) -> DataFrame
     return table(spark, sf_dir, "documents").select("doc_id", words.decode_words(value).alias("decoded"))
 
 
+@query("SELECT c_custkey, 'Dear  '||c_name||' of '||c_mktsegment AS plain, 'é '||c_name AS decoded, TRUE AS same, TRUE AS errors_same, FALSE AS differs FROM customer")
+def un3_craft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts from parts, with encoded words among them; words compared (UN3, UE2, EW5, EW8)."""
+    plain = text.concat(text.compile(text.v("Dear"), text.sp(2), text.v(F.col("c_name"))), text.concat(text.v("of"), F.col("c_mktsegment")))
+    word = lambda *p: words.encoded_word(_cat(*p))
+    c = table(spark, sf_dir, "customer").select("c_custkey", plain.alias("plain"), words.decode_words(text.concat(text.b("é"), text.q(F.col("c_name")))).alias("decoded"), word("=?utf-8?Q?a", F.col("c_custkey"), "?=").alias("a"), word("=?UTF-8?q?a", F.col("c_custkey"), "?=").alias("b"), word("=?UTF-8?B?!", F.col("c_custkey"), "?=").alias("x"), word("=?UTF-8?B?!!", F.col("c_custkey"), "?=").alias("y"))
+    a, b, x, y = (F.col(n) for n in "abxy")
+    return c.select("c_custkey", "plain", "decoded", words.same_word(a, b).alias("same"), words.same_word(x, y).alias("errors_same"), words.same_word(a, x).alias("differs"))
+
+
 # -- extensions: what Spark adds over read messages --------------------------------------------------------------
 
 
