@@ -86,6 +86,9 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", sample
     """A model of the ``sample`` labelled rows with the least hashes; the driver sees no others."""
     own = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     own = own.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"), F.xxhash64(label_col, text_col).alias("h"))
+    # twice the sample's share of the hashes' range holds it, however many rows there are
+    share = 2 * sample / max(1, own.count())
+    own = own if share >= 1 else own.where(F.col("h") < F.lit(int(share * 2.0**64) - (1 << 63)))
     last = own.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     rows = [] if last is None else own.where(F.col("h") <= last).dropDuplicates(["h"]).orderBy("h").collect()
     return Model.fit([(r.label, r.text) for r in rows])
