@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import let
+
 LATIN = "ISO-8859-1"
 
 
@@ -15,7 +17,7 @@ def latin(raw: Column) -> Column:
 
 def text_of(raw: Column) -> Column:
     """Bytes as text: UTF-8 where they are that, else ISO-8859-1."""
-    return F.when(F.is_valid_utf8(raw.cast("string")), F.decode(raw, "UTF-8")).otherwise(latin(raw))
+    return let(raw, lambda r: F.when(F.is_valid_utf8(r.cast("string")), F.decode(r, "UTF-8")).otherwise(latin(r)))
 
 
 def encode_base64(raw: Column) -> Column:
@@ -25,9 +27,11 @@ def encode_base64(raw: Column) -> Column:
 
 def decode_base64(text: Column) -> Column:
     """Bytes of base64 text with any line breaks; null where it isn't base64 or its padding is wrong."""
-    bare = F.regexp_replace(text, r"[\r\n\t ]+", "")
-    good = bare.rlike(r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
-    return F.when(good, F.unbase64(bare))
+
+    def whole(bare: Column) -> Column:
+        return F.when((F.length(bare) % 4 == 0) & bare.rlike("^[A-Za-z0-9+/]*={0,2}$"), F.unbase64(bare))
+
+    return let(F.regexp_replace(text, r"[\r\n\t ]+", ""), whole)
 
 
 def _bytes_of_escapes(text: Column) -> Column:
@@ -74,7 +78,7 @@ def decode_q(text: Column) -> Column:
 def decode_body(raw: Column, encoding: Column) -> Column:
     """The bytes of a body under its transfer encoding; null for broken base64."""
     kind = F.lower(encoding)
-    return F.when(kind == "base64", decode_base64(latin(raw))).when(kind == "quoted-printable", decode_quoted_printable(raw)).otherwise(raw)
+    return let(raw, lambda r: F.when(kind == "base64", decode_base64(latin(r))).when(kind == "quoted-printable", decode_quoted_printable(r)).otherwise(r))
 
 
 def encode_body(text: Column, encoding: Column) -> Column:

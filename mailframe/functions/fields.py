@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import let
 from .codec import latin, text_of
 
 FIELD = "struct<ord:int,name:string,value:string,a:int,b:int>"
@@ -43,32 +44,34 @@ def strip_comments(text: Column, depth: int = 8) -> Column:
     return text
 
 
-def header_length(raw: Column) -> Column:
-    """Bytes of the header with its last CRLF; the empty line is the two bytes after it. Null without an empty line."""
-    text = latin(raw)
+def _split(text: Column) -> Column:
+    """(header with its last CRLF, characters before the body) of a message; null without an empty line."""
     at = F.instr(text, "\r\n\r\n")
-    return F.when(F.substring(text, 1, 2) == "\r\n", F.lit(0)).when(at > 0, at + 1)
+    bare = F.struct(F.lit("").alias("head"), F.lit(2).alias("skip"))
+    return F.when(F.substring(text, 1, 2) == "\r\n", bare).when(at > 0, F.struct(F.substr(text, F.lit(1), at + 1).alias("head"), (at + 3).alias("skip")))
 
 
 def body(raw: Column) -> Column:
     """The bytes after the empty line."""
-    return F.encode(F.substr(latin(raw), header_length(raw) + 3), "ISO-8859-1")
+    return let(latin(raw), lambda t: F.encode(F.substr(t, _split(t)["skip"] + 1), "ISO-8859-1"))
 
 
 def header(raw: Column) -> Column:
     """The header of a message; null where a line is no field or there is no empty line."""
-    head = F.substr(latin(raw), F.lit(1), header_length(raw))
-    # one element a field: its lines up to a CRLF that no white space follows
-    lines = F.filter(F.split(head, r"\r\n(?![ \t])", -1), lambda x: x != "")
-    sizes = F.transform(lines, lambda x: F.length(x) + 2)
-    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))), lambda n: F.aggregate(F.slice(sizes, 1, n), F.lit(0), lambda a, y: a + y))
 
-    def one(x: Column, i: Column) -> Column:
+    def one(x: Column, end: Column, i: Column) -> Column:
         value = unfold(text_of(F.encode(F.regexp_extract(x, rf"(?s)^{NAME}[ \t]*:(.*)$", 1), "ISO-8859-1")))
-        end = F.element_at(ends, (i + 1).cast("int"))
         return F.struct(i.cast("int").alias("ord"), F.regexp_extract(x, rf"^({NAME})", 1).alias("name"), value.alias("value"), (end - F.length(x) - 2).cast("int").alias("a"), end.cast("int").alias("b"))
 
-    return F.when(F.forall(lines, lambda x: x.rlike(rf"(?s)^{NAME}[ \t]*:")), F.transform(lines, one))
+    def fields(lines: Column) -> Column:
+        good = F.forall(lines, lambda x: x.rlike(rf"(?s)^{NAME}[ \t]*:"))
+        sizes = F.transform(lines, lambda x: F.length(x) + 2)
+        end = lambda own, i: F.aggregate(F.slice(own, 1, i + 1), F.lit(0), lambda a, y: a + y)
+        return F.when(good, let(sizes, lambda own: F.transform(lines, lambda x, i: one(x, end(own, i), i))))
+
+    # one element a field: its lines up to a CRLF that no white space follows
+    lines = lambda head: F.filter(F.split(head, r"\r\n(?![ \t])", -1), lambda x: x != "")
+    return let(let(latin(raw), lambda t: _split(t)["head"]), lambda head: let(lines(head), fields))
 
 
 # -- names -------------------------------------------------------------------------------------------------------

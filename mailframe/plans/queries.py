@@ -54,8 +54,8 @@ def _cat(*parts: str | Column) -> Column:
 def src6_header_and_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Split, unfold, pick by name, decode by transfer encoding: no Python."""
     m = headers.with_header(synth.mails(spark, sf_dir).select("doc_id", "raw"))
-    body = codec.decode_body(fields.body(F.col("raw")), ctype.encoding_of_header(F.col("header")))
-    return m.select("doc_id", F.ltrim(fields.first(F.col("header"), "SUBJECT")).alias("subject"), dates.epoch(dates.parse(fields.first(F.col("header"), "date"))).alias("sent_epoch"), F.md5(body).alias("body_md5"), F.length(F.decode(body, "UTF-8")).alias("body_chars"))
+    m = m.withColumn("body", codec.decode_body(fields.body(F.col("raw")), ctype.encoding_of_header(F.col("header"))))
+    return m.select("doc_id", F.ltrim(fields.first(F.col("header"), "SUBJECT")).alias("subject"), dates.epoch(dates.parse(fields.first(F.col("header"), "date"))).alias("sent_epoch"), F.md5("body").alias("body_md5"), F.length(F.decode("body", "UTF-8")).alias("body_chars"))
 
 
 _TREE = f"""
