@@ -59,15 +59,15 @@ def body(raw: Column) -> Column:
 def header(raw: Column) -> Column:
     """The header of a message; null where a line is no field or there is no empty line."""
 
-    def one(x: Column, end: Column, i: Column) -> Column:
+    def one(x: Column, a: Column, i: Column) -> Column:
         value = unfold(text_of(F.encode(F.regexp_extract(x, rf"(?s)^{NAME}[ \t]*:(.*)$", 1), "ISO-8859-1")))
-        return F.struct(i.cast("int").alias("ord"), F.regexp_extract(x, rf"^({NAME})", 1).alias("name"), value.alias("value"), (end - F.length(x) - 2).cast("int").alias("a"), end.cast("int").alias("b"))
+        return F.struct(i.alias("ord"), F.regexp_extract(x, rf"^({NAME})", 1).alias("name"), value.alias("value"), a.alias("a"), (a + F.length(x) + 2).alias("b"))
 
     def fields(lines: Column) -> Column:
         good = F.forall(lines, lambda x: x.rlike(rf"(?s)^{NAME}[ \t]*:"))
-        sizes = F.transform(lines, lambda x: F.length(x) + 2)
-        end = lambda own, i: F.aggregate(F.slice(own, 1, i + 1), F.lit(0), lambda a, y: a + y)
-        return F.when(good, let(sizes, lambda own: F.transform(lines, lambda x, i: one(x, end(own, i), i))))
+        start = F.struct(F.lit(0).alias("at"), empty().alias("out"))
+        step = lambda s, x: F.struct((s["at"] + F.length(x) + 2).alias("at"), F.concat(s["out"], F.array(one(x, s["at"], F.size(s["out"])))).alias("out"))
+        return F.when(good, F.aggregate(lines, start, step, lambda s: s["out"]))
 
     # one element a field: its lines up to a CRLF that no white space follows
     lines = lambda head: F.filter(F.split(head, r"\r\n(?![ \t])", -1), lambda x: x != "")
