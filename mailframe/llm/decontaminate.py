@@ -40,7 +40,7 @@ class _Hashes(dict):
     """Word to 64-bit hash; forgets all when it grows too large."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1 << 20:
+        if len(self) > 1 << 18:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
