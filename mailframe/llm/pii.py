@@ -93,7 +93,7 @@ _CHARACTERS = LOOK_ALIKES | _FULL_WIDTH | dict.fromkeys(_INVISIBLE, "") | {"․"
 _STRANGE = "[" + "".join(map(re.escape, _CHARACTERS)) + "]"
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _RULES = re.compile(
-    r"(?P<at>\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|(?<=[\w.%+-])\s+at\s+(?=[\w-]+(?:\s+dot\s+|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\.)[\w-]))"
+    r"(?P<at>\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|(?<=[\w.%+-])\s+at\s+(?=[\w-]+(?:\s+dot\s+|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*)[\w-]))"
     r"|(?P<dot>\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|(?<=[\w-])\s+dot\s+(?=[\w-]))"
     rf"|(?P<digits>(?<!\w)(?:{_WORD})(?:[\s-]+(?:{_WORD})){{4,}}(?!\w))"
     rf"|(?P<one>{_STRANGE})",

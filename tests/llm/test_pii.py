@@ -52,6 +52,7 @@ DISGUISED = [
     ("mail ja​ne@example.com now", "ja​ne@example.com", "email"),
     ("call + one five five five one two three four five six seven now", None, None),
     ("call +one five five five one two three four five six seven now", "+one five five five one two three four five six seven", "phone"),
+    ("we look at site.com daily, mail bob(at)x.org now", "bob(at)x.org", "email"),
     ("host 10 [.] 0 [.] 0 [.] 1 is down", "10 [.] 0 [.] 0 [.] 1", "ip"),
     ("card four one one one one one one one one one one one one one one one ok", "four one one one one one one one one one one one one one one one", "card"),
 ]
