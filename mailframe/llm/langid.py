@@ -11,7 +11,8 @@
 A further class, ``und``, gives every trigram the same probability. It wins where the text is like none of the
 languages. A row is accepted if its best class is a language with a posterior of at least ``LEAST``.
 
-The text model is fitted on at most ``sample`` labelled rows, those with the least hashes; nothing else is sampled.
+The text model is fitted on at most ``sample`` distinct labelled texts of each label, those with the least hashes, so that every
+label of the table is a class, however rare it is and however often other texts are repeated; nothing else is sampled.
 Without labelled rows every text is ``und``.
 
 Texts that are null, empty or without letters are ``und`` and not accepted. A null or unknown declaration says
@@ -21,7 +22,7 @@ rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import stash
 
@@ -57,14 +59,15 @@ class Model:
     table: np.ndarray
 
     @classmethod
-    def fit(cls, labelled: list[tuple[str, str]], smoothing: float = 0.5) -> Model:
-        languages = sorted({x for x, _ in labelled})
-        counts = np.full((BINS, len(languages)), smoothing)
+    def fit(cls, labelled: Iterable[tuple[str, str]], smoothing: float = 0.5) -> Model:
+        by: dict[str, np.ndarray] = {}
         for language, text in labelled:
-            bins = _bins(text)
-            np.add.at(counts[:, languages.index(language)], bins, 1)
-        table = np.log(counts / counts.sum(axis=0)) if languages else np.zeros((BINS, 0))
-        return cls(languages, np.hstack([table, np.full((BINS, 1), -np.log(BINS))]).astype(np.float32))
+            if language not in by:
+                by[language] = np.full(BINS, smoothing)
+            np.add.at(by[language], _bins(text), 1)
+        languages = sorted(by)
+        columns = [np.log(by[x] / by[x].sum()) for x in languages]
+        return cls(languages, np.stack([*columns, np.full(BINS, -np.log(BINS))], axis=1).astype(np.float32))
 
     @property
     def classes(self) -> list[str]:
@@ -83,15 +86,17 @@ class Model:
 
 
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model of the ``sample`` labelled rows with the least hashes; the driver sees no others."""
+    """A model of the ``sample`` distinct labelled texts with the least hashes of each label; the driver sees no others, and one at a time."""
     own = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     own = own.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"), F.xxhash64(label_col, text_col).alias("h"))
-    # twice the sample's share of the hashes' range holds it, however many rows there are
-    share = 2 * sample / max(1, own.count())
-    own = own if share >= 1 else own.where(F.col("h") < F.lit(int(share * 2.0**64) - (1 << 63)))
-    last = own.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    rows = [] if last is None else own.where(F.col("h") <= last).dropDuplicates(["h"]).orderBy("h").collect()
-    return Model.fit([(r.label, r.text) for r in rows])
+    seen = stash(own.select("label", "h").distinct(), "labels")
+    # over twice the sample's share of the range of the label's own distinct hashes holds it, however many rows and copies there are
+    share = F.lit(2.0 * sample + 64) / F.count("*")
+    last = F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise((share * 2.0**64 - 2.0**63).cast("long"))
+    near = seen.join(F.broadcast(seen.groupBy("label").agg(last.alias("last"))), "label").where("h <= last").select("label", "h")
+    least = near.withColumn("i", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("i") <= sample).select("label", "h")
+    rows = own.join(least, ["label", "h"], "left_semi").dropDuplicates(["label", "h"]).select("label", "text")
+    return Model.fit((r.label, r.text) for r in rows.toLocalIterator())
 
 
 def scored(df: DataFrame, model: Model, text_col: str, name: str = "_ll") -> DataFrame:

@@ -1,3 +1,5 @@
+from collections import Counter
+
 from mailframe.llm import langid, queries
 from pyspark.sql import functions as F
 
@@ -48,3 +50,19 @@ def test_page_evidence(spark):
     got = {r.page_id: r for r in langid.page_evidence(frame).collect()}
     assert (got[1].declared, got[1].host, got[1].text.split()) == ("fr", "a.example.fr", ["Le", "texte"])
     assert (got[2].declared, got[2].host, got[3].declared) == (None, None, "de")
+
+
+def test_copies_and_rare_labels_keep_their_share(spark):
+    """A thousandfold copy of few texts leaves all of them to fit on; a label of two rows is a class."""
+    many = spark.range(40000).selectExpr("'aa' AS lang", "concat('text number ', id % 20) AS text")
+    other = spark.range(20000).selectExpr("'bb' AS lang", "concat('other number ', id) AS text")
+    rare = spark.createDataFrame([("cc", "rare text"), ("cc", "rare words")], "lang string, text string")
+    fitted = []
+    fit = langid.Model.fit.__func__
+    langid.Model.fit = classmethod(lambda cls, rows: fitted.extend(rows) or fit(cls, fitted))
+    try:
+        model = langid.fit(many.union(other).union(rare), sample=50)
+    finally:
+        langid.Model.fit = classmethod(fit)
+    assert model.classes == ["aa", "bb", "cc", "und"]
+    assert Counter(x for x, _ in fitted) == {"aa": 20, "bb": 50, "cc": 2} and len(set(fitted)) == 72
