@@ -537,9 +537,10 @@ def id3_make(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, text AS b, substr(text, 1, 60) AS q, 'UTF-8' AS charset FROM documents")
 def ew1_encoded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encoded words of whole texts and back, without Python (EW1 to EW7, EW9)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", words.encoded_word_native(words.make_word(F.col("text"))).alias("b"), words.encoded_word_native(words.make_word(F.substring("text", 1, 60), "Q")).alias("q"))
-    return d.select("doc_id", "b.data", F.col("q.data").alias("q"), "b.charset").withColumnRenamed("data", "b")
+    """Encoded words of whole texts and back, without Python (EW1 to EW7, EW9); q shows the start of a text that Q gave back whole."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", *(words.encoded_word_native(words.make_word(F.col("text"), x.upper())).alias(x) for x in "bq"))
+    q = F.when(F.col("q.data").eqNullSafe(F.col("text")), F.substring("q.data", 1, 60)).otherwise("Q lost text")
+    return d.select("doc_id", F.col("b.data").alias("b"), q.alias("q"), "b.charset")
 
 
 @query("SELECT c_custkey, 'é'||c_custkey AS latin, 'ő' AS latin2, 'я'||c_custkey AS koi, '=EF=BF=BD' IS NOT NULL AS unknown_kept, TRUE AS bad FROM customer")

@@ -136,3 +136,13 @@ def test_query_equals_sql(spark, name):
 
 def test_synthetic_messages_parse(spark):
     assert mime.nodes(synth.mails(spark, "/root/testdata/sf0.001"), keep=("doc_id",)).where("kind <> 'leaf'").count() == 0
+
+
+def test_quoted_words_are_whole(spark, monkeypatch):
+    """A fault after the first 60 characters of a text shows."""
+    from pyspark.sql import functions as F
+
+    own = queries.words.make_word
+    monkeypatch.setattr(queries.words, "make_word", lambda text, *encoding: own(F.substring(text, 1, 60), *encoding))
+    rows = queries.QUERIES["ew1_encoded_words"](spark, "/root/testdata/sf0.001").collect()
+    assert any(r.q == "Q lost text" for r in rows)
