@@ -11,8 +11,9 @@ keeps the span of the source that it came from. Detectors run on what is written
 where its first character's source starts and ends where its last one's source ends. A span is added if a
 character in it was written by a rule and it overlaps no plain span of its kind but those that are part of it.
 
-Plain ``at`` and ``dot`` count only together ("name at host dot org"): a clean sentence with "at" in it stays clean.
-Five spelled digits in a row are needed before they are read as digits.
+A plain ``at`` counts only before a host with a disguised dot ("name at mail.host dot org"): a clean sentence with "at" in
+it stays clean. A plain ``dot`` counts beside any word or digit; what it makes must pass a detector. Five spelled digits
+in a row, dots said between them or not, or four with dots between all, are needed before they are read as digits.
 
 Null texts are empty texts: no spans. Repeated rows give repeated results. Empty tables give no rows.
 """
@@ -92,16 +93,23 @@ _FULL_WIDTH = {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}
 _CHARACTERS = LOOK_ALIKES | _FULL_WIDTH | dict.fromkeys(_INVISIBLE, "") | {"․": ".", "。": "."}
 _STRANGE = "[" + "".join(map(re.escape, _CHARACTERS)) + "]"
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
+_CLOSED = r"\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*"
+_SAID = r"(?<=[\w-])\s+dot\s+(?=[\w-])"
+#: A host's labels up to its first disguised dot; real ones may stand before it.
+_HOST = rf"[\w-]+(?:[.․。．][\w-]+)*(?:\s+dot\s+|{_CLOSED})"
+#: Between spelled digits; a dot is written where one was said.
+_DOTS = rf"(?:{_CLOSED}|\s+dot\s+|[.])"
+_GAP = rf"(?:{_DOTS}|[\s-]+)"
 _RULES = re.compile(
-    r"(?P<at>\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|(?<=[\w.%+-])\s+at\s+(?=[\w-]+(?:\s+dot\s+|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*)[\w-]))"
-    r"|(?P<dot>\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|(?<=[\w-])\s+dot\s+(?=[\w-]))"
-    rf"|(?P<digits>(?<!\w)(?:{_WORD})(?:[\s-]+(?:{_WORD})){{4,}}(?!\w))"
+    rf"(?P<at>\s*[\[({{<]\s*(?:at|@)\s*[\])}}>]\s*|(?<=[\w.%+-])\s+at\s+(?={_HOST}[\w-]))"
+    rf"|(?P<dot>{_CLOSED}|{_SAID})"
+    rf"|(?P<digits>(?<!\w)(?:{_WORD})(?:(?:{_GAP}(?:{_WORD})){{4,}}|(?:{_DOTS}(?:{_WORD})){{3}})(?!\w))"
     rf"|(?P<one>{_STRANGE})",
     re.IGNORECASE,
 )
-#: Cheap marks of a disguise; a text without one passes no transducer.
-_MARK = re.compile(rf"[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|\sat\s+[\w-]+\s+dot\s|\s(?:{_WORD})[\s-]+(?:{_WORD})[\s-]+(?:{_WORD})[\s-]|{_STRANGE}", re.IGNORECASE)
-_SPELLED_DIGIT = re.compile(_WORD, re.IGNORECASE)
+#: Cheap marks of a disguise, one for each rule that can fire; a text without one passes no transducer.
+_MARK = re.compile(rf"[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|(?<=[\w.%+-])\s+at\s+{_HOST}[\w-]|{_SAID}|(?<!\w)(?:{_WORD}){_GAP}(?:{_WORD}){_GAP}(?:{_WORD}){_GAP}|{_STRANGE}", re.IGNORECASE)
+_DIGIT_OR_DOT = re.compile(rf"{_WORD}|{_CLOSED}|\s+dot\s+|[.]", re.IGNORECASE)
 #: Characters of context on each side of a mark: longer than any identifier.
 CONTEXT = 200
 
@@ -119,8 +127,8 @@ class Transducer:
             if m["one"]:
                 self._write(_CHARACTERS.get(m[0], m[0]), m.start(), m.end())
             elif m["digits"]:
-                for d in _SPELLED_DIGIT.finditer(text, *m.span()):
-                    self._write(SPELLED[d[0].lower()], *d.span())
+                for d in _DIGIT_OR_DOT.finditer(text, *m.span()):
+                    self._write(SPELLED.get(d[0].lower(), "."), *d.span())
             else:
                 self._write("@" if m["at"] else ".", *m.span())
         self._copy(text, at, b)

@@ -78,3 +78,14 @@ def test_odd_rows(odd, none):
 def test_long_runs_are_linear():
     for t in ("a" * 200000, "1" * 200000, "1." * 100000, "+1 " * 60000, "a@" * 100000, "[at] " * 40000, "one " * 50000):
         pii.spans(t)
+
+
+def test_marks_hold_every_rule():
+    for text, want, kind in (
+        ("server 192 dot 168 dot 0 dot 1 up", "192 dot 168 dot 0 dot 1", "ip"),
+        ("mail jane@example dot com", "jane@example dot com", "email"),
+        ("mail: jane at mail.example dot com", "jane at mail.example dot com", "email"),
+        ("ip one nine two dot one six eight dot zero dot one ok", "one nine two dot one six eight dot zero dot one", "ip"),
+        ("ip one dot two dot three dot four ok", "one dot two dot three dot four", "ip"),
+    ):
+        assert [(text[a:b], k) for a, b, k in pii.spans(text)[1]] == [(want, kind)], text
