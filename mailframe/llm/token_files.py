@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import contextlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,55 +36,107 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Chunks of text between white space whose ids are remembered, at most, and their greatest length.
-REMEMBERED, LONGEST = 1 << 19, 48
+#: Pieces of text whose ids are remembered, at most, and their greatest length.
+REMEMBERED, LONGEST = 1 << 20, 48
+
+# The normalizer and pre-tokenizer that pieces are known for, and its pieces within Latin-1 in lower case.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LATIN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+"
 
 
 def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
-class Encoder(dict):
-    """Ids of whole texts as bytes; maps chunks of text to theirs.
+class Encoder:
+    """Ids of whole texts as bytes, equal to those that the tokenizer gives the whole text.
 
-    The vocabulary's pre-tokenizer drops white space and never joins across it, and its normalizer works
-    on each character or combining sequence. So the ids of a text are those of its chunks between
-    spaces and line breaks, and a chunk seen before needs no second encoding. Nor does one that ends in a
-    mark after a letter or digit, which starts a piece of its own, or one of Latin-1 in upper case.
+    White space is dropped and no piece crosses it, and no character composes with a space, so a text's ids are
+    those of its chunks between spaces. Within Latin-1, which NFC leaves as it is and which lower-cases character by
+    character, chunks are cut into the pre-tokenizer's pieces here: a piece's ids depend on the piece alone and end
+    in a token of a word's end, so that all pieces not seen before are encoded in one call. Chunks of other characters,
+    or that may hold a special token, go to the tokenizer as they are. Where the file has another normalizer or
+    pre-tokenizer, or a model without word ends, so do whole texts.
     """
 
     def __init__(self, path: str, width: int) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer, self.kind = Tokenizer.from_file(path), np.dtype(f"<u{width}")
+        self.known: dict[str, bytes] = {}
+        self.pieces = re.compile(LATIN).findall
         with open(path, encoding="utf-8") as f:
-            self.lower = {"type": "Lowercase"} in (json.load(f)["normalizer"] or {}).get("normalizers", [])
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) > 1 and chunk[-1] in ".,;:!?" and chunk[-2].isalnum():
-            ids = self[chunk[:-1]] + self[chunk[-1]]
-        else:
-            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
-        if len(chunk) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[chunk] = ids
+            own = json.load(f)
+        split = (own["pre_tokenizer"] or {}).get("pretokenizers", [{}, {}])
+        self.by_piece = (
+            own["normalizer"] == NORMALIZER and len(split) == 2
+            and (split[0].get("pattern"), split[0].get("behavior"), split[0].get("invert")) == ({"Regex": PIECES}, "Removed", True)
+            and (split[1].get("type"), split[1].get("use_regex"), split[1].get("add_prefix_space")) == ("ByteLevel", False, False)
+            and own["model"]["type"] == "BPE" and own["model"].get("end_of_word_suffix") == "</w>" and not own["model"].get("dropout")
+            and all(x["special"] and x["content"].startswith("<|") for x in own["added_tokens"])
+        )
+        if self.by_piece:
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        if (ids := self.known.get(chunk)) is None:
+            ids = self._ids(chunk)
+            if len(chunk) <= LONGEST:
+                self.known[chunk] = ids
         return ids
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.lower and "<|" not in text:
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of distinct pieces, by one call."""
+        ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, np.int64)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(pieces) or (len(ends) and ends[-1] != len(ids)):
+            return {x: self._ids(x) for x in pieces}
+        raw, w = ids.astype(self.kind).tobytes(), self.kind.itemsize
+        ends = (ends * w).tolist()
+        return {x: raw[a:b] for x, a, b in zip(pieces, [0, *ends[:-1]], ends, strict=True)}
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_piece:
+            return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        cut = [self._cut(x) if x else b"" for x in texts]
+        new = {x for own in cut if own.__class__ is list for x in own if x not in self.known}
+        learnt = self._learn(sorted(new)) if new else {}
+        self.known.update(learnt)
+        out = [b"".join(map(self.known.__getitem__, own)) if own.__class__ is list else own for own in cut]
+        for x in learnt:
+            if len(x) > LONGEST:
+                del self.known[x]
+        return out
+
+    def _cut(self, text: str) -> list[str] | bytes:
+        """The pieces of a text, or its ids if it isn't all Latin-1."""
+        if "<|" not in text:
             with contextlib.suppress(UnicodeEncodeError):
                 text.encode("latin-1")
-                text = text.lower()
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+                return self.pieces(text.lower())
+        out = []
+        for chunk in text.replace("\n", " ").split(" "):
+            if not chunk.isascii() or "<|" in chunk:
+                out.append(self._chunk(chunk))
+            else:
+                out += map(self._chunk, self.pieces(chunk.lower()))
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
 
 
 @lru_cache(1)
 def encoder(path: str, width: int) -> Encoder:
-    """The worker process's encoder: later tasks find the chunks of earlier ones."""
+    """The worker process's encoder: later tasks find the pieces of earlier ones."""
     return Encoder(path, width)
 
 
@@ -107,7 +160,7 @@ def write_token_files(df: DataFrame, out: str, tokenizer_path: str, end_id: int
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, own = TaskContext.get().partitionId(), uuid.uuid4().hex
         fs, root = _fs(out)
-        encode, end = encoder(tokenizer_path, width).encode, np.array([end_id], f"<u{width}").tobytes()
+        encode, end = encoder(tokenizer_path, width).encode_all, np.array([end_id], f"<u{width}").tobytes()
         name, temporary = f"{root}/shard-{k:06d}", f"{root}/.{own}-{k:06d}"
         ids: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
@@ -116,7 +169,7 @@ def write_token_files(df: DataFrame, out: str, tokenizer_path: str, end_id: int
             for b in batches:
                 for at in range(0, b.num_rows, 256):
                     part = b.slice(at, 256)
-                    got = [encode(x.as_py()) for x in part.column(1)]
+                    got = encode(part.column(1).to_pylist())
                     tok.write(b"".join(x + end for x in got))
                     sizes.append(np.array([len(x) // width + 1 for x in got], "<u8"))
                     nulls += part.column(0).null_count

@@ -48,5 +48,19 @@ def test_chunks_encode_as_whole_texts():
     alphabet = "aB é́ \n\t\x1c 'sll're7½ΣςΑ<|endoftext|>.,ſŉ한가"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(3000)]
     t = Tokenizer.from_file(PATH)
-    got = [np.frombuffer(x, "<u2").tolist() for x in map(token_files.Encoder(PATH, 2).encode, texts)]
-    assert got == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    same(t, PATH, texts)
+    # characters that change under normalization, before and after marks
+    for shape in ("{}.", "a{}", "a {}.", "é{}!", "'{}s"):
+        same(t, PATH, [shape.format(chr(c)) for c in range(0x20, 0x30000) if not 0xD800 <= c < 0xE000])
+
+
+def same(tokenizer, path, texts):
+    e = token_files.Encoder(path, token_files.id_width(path, 1) if path == PATH else 4)
+    got = [np.frombuffer(x, e.kind).tolist() for at in range(0, len(texts), 256) for x in e.encode_all(texts[at : at + 256])]
+    assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_another_tokenizer_encodes_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not token_files.Encoder(path, 4).by_piece
+    same(Tokenizer.from_file(path), path, ["It's  a\ntest.", "", "\u0130. \u0958.", "Straße 12"])
