@@ -3,17 +3,20 @@
 Plain detection finds e-mail addresses, IP addresses, card numbers and phone numbers, leftmost and
 non-overlapping per kind; matches that fail their test are dropped without a second try.
 
-Deobfuscation. Only around words or marks that a disguise needs (``at``, ``dot``, bracketed forms, spelled digits,
-letters or digits of another script that look Latin) a region of the text passes a transducer. It reads the
+Deobfuscation. A text with a word or mark that a disguise needs (``at``, ``dot``, bracketed forms, spelled digits,
+letters or digits of another script that look Latin) passes a transducer as a whole. It reads the
 source left to right and writes normal characters: look-alike letters and digits become ASCII, invisible
-characters vanish, "(at)" becomes "@", " dot " becomes ".", "five" becomes "5". With each character written it
-keeps the span of the source that it came from. Detectors run on what is written, and a match is mapped back: it starts
+characters vanish, "(at)" becomes "@", " dot " becomes ".", "five" becomes "5". What it copies and what it writes it keeps as
+runs with their places in the source. Detectors run on what is written, and a match is mapped back: it starts
 where its first character's source starts and ends where its last one's source ends. A span is added if a
-character in it was written by a rule and it overlaps no plain span of its kind but those that are part of it.
+character in it was written by a rule and it overlaps no plain span of its kind but those that are part of it. Nothing
+bounds an identifier's length, and all steps are linear but for the logarithm of a search in sorted runs.
 
-A plain ``at`` counts only before a host with a disguised dot ("name at mail.host dot org"): a clean sentence with "at" in
-it stays clean. A plain ``dot`` counts beside any word or digit; what it makes must pass a detector. Five spelled digits
-in a row, dots said between them or not, or four with dots between all, are needed before they are read as digits.
+A plain ``at`` counts before a host with a disguised dot ("name at mail.host dot org"). Before a host with real dots only it
+counts after a name that no word looks like, with a digit or mark in it ("jane.doe at host.org"), or one that a word for
+mail stands before ("mail jane at host.org"): "look at host.org" stays clean. A plain ``dot`` counts beside any word or digit;
+what it makes must pass a detector. Digits are read as a run of spelled and written ones if three are spelled, of five in all, dots
+said between them or not, or if four have dots between all.
 
 Null texts are empty texts: no spans. Repeated rows give repeated results. Empty tables give no rows.
 """
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -63,7 +67,7 @@ def plain(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of plain personal data, by start, then kind as listed."""
     out = [(a, b, 0) for a, b in _emails(text)] if "@" in text else []
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(q) < 4 and int(q or 0) <= 255 for q in (p.lstrip("0") for p in m[0].split("."))):
             out.append((*m.span(), 1))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14:
@@ -93,92 +97,151 @@ _FULL_WIDTH = {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}
 _CHARACTERS = LOOK_ALIKES | _FULL_WIDTH | dict.fromkeys(_INVISIBLE, "") | {"․": ".", "。": "."}
 _STRANGE = "[" + "".join(map(re.escape, _CHARACTERS)) + "]"
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
-_CLOSED = r"\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*"
+#: White space before a bracket is tried from its start only, so that long runs of it stay linear.
+_OPEN = r"(?:(?<!\s)\s+|)[\[({<]\s*"
+_CLOSED = rf"{_OPEN}(?:dot|\.)\s*[\])}}>]\s*"
 _SAID = r"(?<=[\w-])\s+dot\s+(?=[\w-])"
 #: A host's labels up to its first disguised dot; real ones may stand before it.
 _HOST = rf"[\w-]+(?:[.․。．][\w-]+)*(?:\s+dot\s+|{_CLOSED})"
 #: Between spelled digits; a dot is written where one was said.
 _DOTS = rf"(?:{_CLOSED}|\s+dot\s+|[.])"
 _GAP = rf"(?:{_DOTS}|[\s-]+)"
+#: A digit, spelled or written.
+_DIGIT = rf"(?:{_WORD}|[0-9]+)"
+_OPEN_AT = rf"{_OPEN}(?:at|@)\s*[\])}}>]\s*"
+_REAL_HOST = r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 _RULES = re.compile(
-    rf"(?P<at>\s*[\[({{<]\s*(?:at|@)\s*[\])}}>]\s*|(?<=[\w.%+-])\s+at\s+(?={_HOST}[\w-]))"
+    rf"(?P<at>{_OPEN_AT}|(?<=[\w.%+-])\s+at\s+(?={_HOST}[\w-]))"
+    rf"|(?P<maybe>(?<=[\w.%+-])\s+at\s+(?={_REAL_HOST}))"
+    rf"|(?P<digits>(?<!\w){_DIGIT}(?:(?:{_GAP}{_DIGIT}){{4,}}|(?:{_DOTS}{_DIGIT}){{3}})(?!\w))"
     rf"|(?P<dot>{_CLOSED}|{_SAID})"
-    rf"|(?P<digits>(?<!\w)(?:{_WORD})(?:(?:{_GAP}(?:{_WORD})){{4,}}|(?:{_DOTS}(?:{_WORD})){{3}})(?!\w))"
     rf"|(?P<one>{_STRANGE})",
     re.IGNORECASE,
 )
 #: Cheap marks of a disguise, one for each rule that can fire; a text without one passes no transducer.
-_MARK = re.compile(rf"[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|(?<=[\w.%+-])\s+at\s+{_HOST}[\w-]|{_SAID}|(?<!\w)(?:{_WORD}){_GAP}(?:{_WORD}){_GAP}(?:{_WORD}){_GAP}|{_STRANGE}", re.IGNORECASE)
-_DIGIT_OR_DOT = re.compile(rf"{_WORD}|{_CLOSED}|\s+dot\s+|[.]", re.IGNORECASE)
-#: Characters of context on each side of a mark: longer than any identifier.
-CONTEXT = 200
+_MARK = re.compile(rf"[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|(?<=[\w.%+-])\s+at\s+(?:{_HOST}[\w-]|{_REAL_HOST})|{_SAID}|(?<!\w)(?:{_WORD}){_GAP}(?:[0-9]+{_GAP})*(?:{_WORD})(?!\w)|{_STRANGE}", re.IGNORECASE)
+_DIGIT_OR_DOT = re.compile(rf"(?P<spelled>{_WORD})|(?P<written>[0-9]+)|(?P<dot>{_CLOSED}|\s+dot\s+)|(?P<point>[.])", re.IGNORECASE)
+_SAID_DOT = re.compile(rf"{_CLOSED}|\s+dot\s+", re.IGNORECASE)
+# Words for mail that may stand before a name, and words that are no name after them.
+_CUE = re.compile(r"\b(?:e-?mails?|mails?|mailto|contact|kontakt|correo|courriel|write|reach|address)(?:\s+(?:to|is))?\s*[:<(]?\s*$", re.IGNORECASE)
+_NO_NAME = frozenset("us me you him her them it here there now today back directly is are was be and or to the a".split())
+
+
+def _spelled(word: str) -> str:
+    """The digit of a spelled one, with the letters that compare equal to s and i without case."""
+    return SPELLED.get(word.lower().replace("ſ", "s").replace("i\u0307", "i"), "")
+
+
+def _named(text: str, end: int) -> bool:
+    """Whether what ends there, before a plain at and a real host, is a mailbox's name."""
+    a = end
+    while a > 0 and text[a - 1] in _LOCAL:
+        a -= 1
+    name = text[a:end]
+    if not name.isalpha():
+        return any(c.isalpha() for c in name) and name[-1] not in ".-"
+    return name.lower() not in _NO_NAME and bool(_CUE.search(text, max(0, a - 40), a))
 
 
 class Transducer:
-    """Writes a normal form of text[a:b] and keeps, for each character written, its source span and its rule."""
-
-    def __init__(self, text: str, a: int, b: int) -> None:
-        written, self.starts, self.ends, self.by_rule = [], [], [], []
-        self._written = written
-        at = a
-        for m in _RULES.finditer(text, a, b):
-            self._copy(text, at, m.start())
-            at = m.end()
+    """Writes a normal form of a text and keeps its runs: where each starts in the normal form, its source, and whether a rule wrote it."""
+
+    def __init__(self, text: str) -> None:
+        self._written: list[str] = []
+        self._size = 0
+        self.at, self.starts, self.ends, self.rules = [], [], [], []
+        done = 0
+        for m in _RULES.finditer(text):
+            if m["maybe"] and not _named(text, m.start()):
+                continue
+            self._copy(text, done, m.start())
+            done = m.end()
             if m["one"]:
-                self._write(_CHARACTERS.get(m[0], m[0]), m.start(), m.end())
+                self._write(_CHARACTERS.get(m[0], m[0]), m.start(), done)
             elif m["digits"]:
-                for d in _DIGIT_OR_DOT.finditer(text, *m.span()):
-                    self._write(SPELLED.get(d[0].lower(), "."), *d.span())
+                self._digits(text, *m.span())
             else:
-                self._write("@" if m["at"] else ".", *m.span())
-        self._copy(text, at, b)
-        self.text = "".join(written)
+                self._write("." if m["dot"] else "@", m.start(), done)
+        self._copy(text, done, len(text))
+        self.text = "".join(self._written)
+
+    def _digits(self, text: str, a: int, b: int) -> None:
+        found = list(_DIGIT_OR_DOT.finditer(text, a, b))
+        if sum(1 for d in found if d["spelled"]) >= 3 or sum(1 for d in found if d["dot"]) >= 3:
+            for d in found:
+                if d["written"] or d["point"]:
+                    self._copy(text, *d.span())
+                else:
+                    self._write(_spelled(d[0]) if d["spelled"] else ".", *d.span())
+            return
+        for d in _SAID_DOT.finditer(text, a, b):
+            self._copy(text, a, d.start())
+            self._write(".", *d.span())
+            a = d.end()
+        self._copy(text, a, b)
+
+    def _run(self, written: str, a: int, b: int) -> None:
+        self._written.append(written)
+        self.at.append(self._size)
+        self.starts.append(a)
+        self.ends.append(b)
+        self._size += len(written)
 
     def _copy(self, text: str, a: int, b: int) -> None:
-        self._written.append(text[a:b])
-        self.starts.extend(range(a, b))
-        self.ends.extend(range(a + 1, b + 1))
-        self.by_rule.extend([False] * (b - a))
+        if a < b:
+            self._run(text[a:b], a, b)
 
     def _write(self, c: str, a: int, b: int) -> None:
         if c:
-            self._written.append(c)
-            self.starts.append(a)
-            self.ends.append(b)
-            self.by_rule.append(True)
+            self.rules.append(self._size)
+            self._run(c, a, b)
 
     def source(self, a: int, b: int) -> tuple[int, int]:
-        return self.starts[a], self.ends[b - 1]
+        """The source of the normal form's characters a to b."""
+        out = []
+        for place, edge in ((a, 0), (b - 1, 1)):
+            i = bisect_right(self.at, place) - 1
+            j = bisect_left(self.rules, self.at[i])
+            by_rule = j < len(self.rules) and self.rules[j] == self.at[i]
+            out.append((self.ends if edge else self.starts)[i] if by_rule else self.starts[i] + place - self.at[i] + edge)
+        return out[0], out[1]
 
     def disguised(self, a: int, b: int) -> bool:
-        return any(self.by_rule[a:b]) or self.ends[b - 1] - self.starts[a] != b - a
+        j = bisect_left(self.rules, a)
+        p, q = self.source(a, b)
+        return (j < len(self.rules) and self.rules[j] < b) or q - p != b - a
 
 
-def _regions(text: str) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for m in _MARK.finditer(text):
-        a, b = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
+class _Taken:
+    """Spans of one kind that don't overlap, in order: which of them a span meets."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+
+    def over(self, a: int, b: int) -> list[tuple[int, int]]:
+        i, j = bisect_right(self.ends, a), bisect_left(self.starts, b)
+        return list(zip(self.starts[i:j], self.ends[i:j], strict=True))
+
+    def add(self, a: int, b: int) -> None:
+        self.starts.append(a)
+        self.ends.append(b)
 
 
 def disguised(text: str, known: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Spans of disguised personal data that overlap no known span of their kind, unless they hold it and more."""
-    out = []
-    for a, b in _regions(text):
-        t = Transducer(text, a, b)
-        for x, y, kind in plain(t.text):
-            # a match that a cut of the region may have shortened is met whole by no other region, and is left
-            if (x == 0 and a > 0) or (y == len(t.text) and b < len(text)) or not t.disguised(x, y):
-                continue
-            p, q = t.source(x, y)
-            # a known span may be the plain end of this one; any other overlap leaves the known one alone
-            over = [(c, d) for c, d, k in known if k == kind and p < d and c < q]
-            if all(p <= c and d <= q and d - c < q - p for c, d in over) and not any(k == kind and p < d and c < q for c, d, k in out):
-                out.append((p, q, kind))
+    if not _MARK.search(text):
+        return []
+    t, out = Transducer(text), []
+    there = {k: _Taken([(a, b) for a, b, kind in known if kind == k]) for k in KINDS}
+    added = {k: _Taken([]) for k in KINDS}
+    for x, y, kind in plain(t.text):
+        if not t.disguised(x, y):
+            continue
+        p, q = t.source(x, y)
+        # a known span may be the plain part of this one; any other overlap leaves the known one alone
+        if all(p <= c and d <= q and d - c < q - p for c, d in there[kind].over(p, q)) and not added[kind].over(p, q):
+            added[kind].add(p, q)
+            out.append((p, q, kind))
     return out
 
 
