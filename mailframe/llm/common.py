@@ -53,6 +53,26 @@ def _clean() -> None:
             return
 
 
+#: A key is hot if over one in so many rows have it, and over so many: there are never more hot keys than that.
+HOT = 4096
+
+
+def hot_bound(total: int) -> int:
+    return max(HOT, total // HOT)
+
+
+def semi_join(rows: DataFrame, found: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """rows whose keys are in ``found``: a written table with a row a key and, in n, how many of the rows have it.
+
+    Hot keys, at most ``HOT`` by their definition, are broadcast, so that their rows stay where they are; the
+    others meet by a shuffle that no key fills.
+    """
+    most = hot_bound(found.agg(F.sum(n)).first()[0] or 0)
+    hot = F.broadcast(found.where(F.col(n) > most).select(*keys))
+    others = rows.join(hot, keys, "left_anti").join(found.where(F.col(n) <= most).select(*keys), keys, "left_semi")
+    return rows.join(hot, keys, "left_semi").unionAll(others)
+
+
 def power_of_two(x: float, most: int) -> int:
     """The largest power of two up to x, from 1 to most."""
     n = 1

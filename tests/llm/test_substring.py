@@ -3,7 +3,8 @@ import random
 import re
 from collections import Counter
 
-from mailframe.llm import queries, substring
+import pytest
+from mailframe.llm import common, queries, substring
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -25,8 +26,11 @@ def test_query_equals_brute_force(spark, sf):
         assert sorted((tuple(r) for r in queries.op9_substring_dedup(spark, d).collect()), key=str) == brute(docs)
 
 
-def test_edges(spark, odd, none):
+@pytest.mark.parametrize("hot", (4096, 2))
+def test_edges(spark, odd, none, monkeypatch, hot):
     """Overlapping copies, runs of one word, junctions of two passages, near copies, short windows."""
+    # with 2, nearly all keys are hot
+    monkeypatch.setattr(common, "HOT", hot)
     rng = random.Random(6)
     pool = [f"w{i}" for i in range(400)]
     passages = [rng.choices(pool, k=rng.randrange(10, 90)) for _ in range(12)]
