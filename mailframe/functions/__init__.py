@@ -9,3 +9,23 @@ from pyspark.sql import functions as F
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body with value bound to a name: a value that body uses often is written and evaluated once."""
     return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
+def running(numbers: Column) -> Column:
+    """For each number of an array the sum of those before it.
+
+    A fold that appends to an array copies it each time, so the array is cut into blocks of the root of its size: 100,000
+    numbers copy 16 million entries and not 5 billion.
+    """
+
+    def inside(part: Column, start: Column) -> Column:
+        state = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(part, state, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+    def blocks(x: Column) -> Column:
+        side = F.ceil(F.sqrt(F.size(x))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) / side).cast("int") - 1), lambda i: F.slice(x, i * side + 1, side))
+        return F.when(F.size(x) > 0, let(parts, lambda p: let(F.transform(p, total), lambda t: F.flatten(F.transform(p, lambda part, i: inside(part, total(F.slice(t, 1, i))))))))
+
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + y)
+    return F.coalesce(let(numbers.cast("array<bigint>"), blocks), F.array().cast("array<bigint>"))

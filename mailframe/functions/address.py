@@ -86,6 +86,23 @@ def mailbox(local_part: Column, at: Column, name: Column | None = None) -> Colum
     return F.when(F.length(name) > 0, F.concat(shown, F.lit(" <"), inner, F.lit(">"))).otherwise(inner)
 
 
+#: A dot of a phrase: it joins the word before it.
+DOT = "."
+
+
+def phrase(*parts: Column | str) -> Column:
+    """A display name of words, encoded words (``words.make_word``) and ``DOT``s as text; null if a word is null or empty, or it starts with a dot."""
+    if not parts or isinstance(parts[0], str):
+        return F.lit(None).cast("string")
+    shown = [p if isinstance(p, str) else F.when(p.rlike(r"^=\?[^? ]+\?[QqBb]\?[^? ]*\?=$"), p).otherwise(render_word(word(p))) for p in parts]
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p if i == 0 else F.concat(F.lit(" "), p) for i, p in enumerate(shown)))
+
+
+def named(shown: Column, mailbox_text: Column) -> Column:
+    """phrase <local@domain>."""
+    return F.concat(shown, F.lit(" <"), mailbox_text, F.lit(">"))
+
+
 def group(name: Column, members: Column) -> Column:
     """name: a, b; as text; null without members."""
     return F.when(F.size(members) > 0, F.concat(name, F.lit(": "), F.array_join(members, ", "), F.lit(";")))
@@ -110,6 +127,12 @@ def same_address(a: Column, b: Column, case_sensitive: bool = False) -> Column:
     return (a["tag"] == b["tag"]) & text(F.coalesce(a["group"], F.lit(""))).eqNullSafe(text(F.coalesce(b["group"], F.lit("")))) & (members(a) == members(b))
 
 
+def same_message_id(a: Column, b: Column) -> Column:
+    """Equal ids: locals as they are, domains in any case."""
+    lower = lambda x: F.transform(x["domain"], F.lower)
+    return (a["local"] == b["local"]) & (lower(a) == lower(b))
+
+
 def message_id(local_part: Column, at: Column) -> Column:
     """<local@domain>; null where the domain is an IP literal or a part is null."""
     return F.when(at["tag"].isin("Domain", "Literal"), F.concat(F.lit("<"), render_local(local_part), F.lit("@"), render_domain(at), F.lit(">")))

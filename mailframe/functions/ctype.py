@@ -15,10 +15,11 @@ from .fields import last, strip_comments, unfold
 TOKEN = r"[^\x00-\x20\x7F()<>@,;:\"/\[\]?=\\]+"
 DISCRETE, COMPOSITE = ("text", "image", "audio", "video", "application"), ("message", "multipart")
 ENCODINGS = ("7bit", "8bit", "binary", "quoted-printable", "base64")
-_VALUE = rf'"(?:[^"\\]|\\.)*"|{TOKEN}'
+#: Possessive, so that long values need no stack.
+_VALUE = rf'"[^"\\]*+(?:\\.[^"\\]*+)*+"|{TOKEN}'
 PARAMETER = rf"\s*;\s*({TOKEN})\s*=\s*({_VALUE})"
 #: Type, subtype and all parameters that follow without a break.
-_WHOLE = rf"(?s)^\s*({TOKEN})\s*/\s*({TOKEN})((?:{PARAMETER})*)"
+_WHOLE = rf"(?s)^\s*({TOKEN})\s*/\s*({TOKEN})((?:{PARAMETER})*+)"
 # What a quoted pair stands for; others are themselves.
 PAIRS = {"a": "\a", "b": "\b", "t": "\t", "n": "\n", "v": "\v", "f": "\f", "r": "\r"}
 

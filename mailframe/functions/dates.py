@@ -55,15 +55,17 @@ def parse(value: Column) -> Column:
     """The date at the start of a value (comments and folds aside), or null."""
 
     def whole(text: Column) -> Column:
-        group = lambda n: F.regexp_extract(text, _PATTERN, n)
+        # one match, written as its groups
+        groups = F.split(F.regexp_replace(text, rf"(?s){_PATTERN}.*$", "$1|$2|$3|$4|$5|$6|$7|$8"), r"\|")
+        return F.when(text.rlike(_PATTERN), let(groups, parts))
+
+    def parts(groups: Column) -> Column:
+        group = lambda n: groups[n - 1]
         month = F.array_position(F.array(*map(F.lit, MONTHS)), group(3)).cast("int")
-        return F.when(
-            text.rlike(_PATTERN),
-            F.struct(
-                F.nullif(group(1), F.lit("")).alias("dow"), group(2).cast("int").alias("day"), month.alias("month"), group(4).cast("int").alias("year"),
-                group(5).cast("int").alias("hour"), group(6).cast("int").alias("minute"), F.nullif(group(7), F.lit("")).cast("int").alias("second"),
-                group(8).alias("zone"), zone_hours(group(8)).alias("off_h"), zone_minutes(group(8)).alias("off_m"),
-            ),
+        return F.struct(
+            F.nullif(group(1), F.lit("")).alias("dow"), group(2).cast("int").alias("day"), month.alias("month"), group(4).try_cast("int").alias("year"),
+            group(5).cast("int").alias("hour"), group(6).cast("int").alias("minute"), F.nullif(group(7), F.lit("")).cast("int").alias("second"),
+            group(8).alias("zone"), zone_hours(group(8)).alias("off_h"), zone_minutes(group(8)).alias("off_m"),
         )
 
     return let(strip_comments(unfold(value)), whole)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import let
+from . import let, running
 from .codec import latin, text_of
 
 FIELD = "struct<ord:int,name:string,value:string,a:int,b:int>"
@@ -34,14 +34,26 @@ def unfold(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n[ \t]+", " ")
 
 
-def strip_comments(text: Column, depth: int = 8) -> Column:
+#: A quoted string, kept, or an innermost comment; possessive, so that long ones need no stack.
+_COMMENT = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|\([^()\\]*+(?:\\.[^()\\]*+)*+\)'
+#: Comments within comments that are followed.
+DEEPEST = 64
+
+
+def strip_comments(text: Column, depth: int = DEEPEST) -> Column:
     """Text without comments nested up to ``depth``; quoted strings keep their parentheses.
 
-    Deeper nesting isn't regular; ``mailframe.grammar.strip_comments`` takes any.
+    A pass takes the innermost comments; passes end with the first that changes nothing. Nesting that is deeper isn't
+    regular; ``mailframe.grammar.strip_comments`` takes any.
     """
-    for _ in range(depth):
-        text = F.regexp_replace(text, r'("(?:[^"\\]|\\.)*")|\((?:[^()\\]|\\.)*\)', "$1")
-    return text
+
+    def passes(t: Column) -> Column:
+        most = F.least(F.length(t) - F.length(F.replace(t, F.lit("("), F.lit(""))), F.lit(depth))
+        step = lambda s, _: F.when(s["more"], let(F.regexp_replace(s["t"], _COMMENT, "$1"), lambda new: F.struct(new.alias("t"), (new != s["t"]).alias("more")))).otherwise(s)
+        done = F.aggregate(F.sequence(F.lit(1), most), F.struct(t.alias("t"), F.lit(True).alias("more")), step, lambda s: s["t"])
+        return F.when(F.instr(t, "(") > 0, done).otherwise(t)
+
+    return let(text, passes)
 
 
 def _split(text: Column) -> Column:
@@ -56,22 +68,51 @@ def body(raw: Column) -> Column:
     return let(latin(raw), lambda t: F.encode(F.substr(t, _split(t)["skip"] + 1), "ISO-8859-1"))
 
 
-def header(raw: Column) -> Column:
-    """The header of a message; null where a line is no field or there is no empty line."""
+_LINE = rf"(?s)^{NAME}[ \t]*:"
+
+
+def _fields(lines: Column) -> Column:
+    """The fields of lines (a field's lines together, in latin-1) that follow each other from a message's start."""
 
     def one(x: Column, a: Column, i: Column) -> Column:
         value = unfold(text_of(F.encode(F.regexp_extract(x, rf"(?s)^{NAME}[ \t]*:(.*)$", 1), "ISO-8859-1")))
         return F.struct(i.alias("ord"), F.regexp_extract(x, rf"^({NAME})", 1).alias("name"), value.alias("value"), a.alias("a"), (a + F.length(x) + 2).alias("b"))
 
-    def fields(lines: Column) -> Column:
-        good = F.forall(lines, lambda x: x.rlike(rf"(?s)^{NAME}[ \t]*:"))
-        start = F.struct(F.lit(0).alias("at"), empty().alias("out"))
-        step = lambda s, x: F.struct((s["at"] + F.length(x) + 2).alias("at"), F.concat(s["out"], F.array(one(x, s["at"], F.size(s["out"])))).alias("out"))
-        return F.when(good, F.aggregate(lines, start, step, lambda s: s["out"]))
+    at = running(F.transform(lines, lambda x: F.length(x) + 2))
+    return F.transform(F.arrays_zip(lines.alias("x"), at.alias("at")), lambda y, i: one(y["x"], y["at"].cast("int"), i))
+
+
+def _lines(head: Column) -> Column:
+    """One element a field: its lines up to a CRLF that no white space follows."""
+    return F.filter(F.split(head, r"\r\n(?![ \t])", -1), lambda x: x != "")
+
+
+def header(raw: Column) -> Column:
+    """The header of a message; null where a line is no field or there is no empty line."""
+
+    def whole(lines: Column) -> Column:
+        return F.when(F.forall(lines, lambda x: x.rlike(_LINE)), _fields(lines))
+
+    return let(let(latin(raw), lambda t: _split(t)["head"]), lambda head: let(_lines(head), whole))
+
+
+def decode(raw: Column) -> Column:
+    """``struct<fields,malformed>``: the fields before the first line that is none, and that line; null where all are.
 
-    # one element a field: its lines up to a CRLF that no white space follows
-    lines = lambda head: F.filter(F.split(head, r"\r\n(?![ \t])", -1), lambda x: x != "")
-    return let(let(latin(raw), lambda t: _split(t)["head"]), lambda head: let(lines(head), fields))
+    Without an empty line all lines are read, and malformed is an empty text if each is a field.
+    """
+
+    def found(s: Column) -> Column:
+        lines = s["lines"]
+        bad = F.array_position(F.transform(lines, lambda x: x.rlike(_LINE)), False)
+        good = F.when(bad > 0, F.slice(lines, 1, (bad - 1).cast("int"))).otherwise(lines)
+        at_fault = F.when(bad > 0, F.try_element_at(lines, bad.cast("int"))).when(~s["whole"], F.lit(""))
+        return F.struct(let(good, _fields).alias("fields"), at_fault.alias("malformed"))
+
+    def split(t: Column) -> Column:
+        return let(_split(t)["head"], lambda head: F.struct(_lines(F.coalesce(head, t)).alias("lines"), head.isNotNull().alias("whole")))
+
+    return let(let(latin(raw), split), found)
 
 
 # -- names -------------------------------------------------------------------------------------------------------
@@ -167,9 +208,16 @@ def last(header: Column, name: str) -> Column:
     return F.try_element_at(assoc(header, name), F.lit(-1))["value"]
 
 
+def fold(line: Column, margin: int = 78) -> Column:
+    """A line folded before a space wherever it would pass the margin; a word that is longer stays whole, and so does a line with breaks."""
+    # from where the last part ended: as much as fits up to a single space, or else the least that reaches one
+    part = rf"\G(?=.{{{margin + 1}}})(?:.{{1,{margin}}}|.{{{margin + 1},}}?)(?<=[^ ])(?= [^ ])"
+    return let(line, lambda x: F.when((F.length(x) > margin) & ~x.rlike("[\r\n]"), F.regexp_replace(x, part, "$0\r\n")).otherwise(x))
+
+
 def render(header: Column) -> Column:
-    """Header lines with CRLF ends, names capitalized; a value that starts with white space gets no other space."""
-    lines = F.transform(header, lambda f: F.concat(capitalize(f["name"]), F.when(f["value"].rlike("^[ \t]"), ":").otherwise(": "), f["value"], F.lit("\r\n")))
+    """Header lines with CRLF ends, folded, names capitalized; a value that starts with white space gets no other space."""
+    lines = F.transform(header, lambda f: F.concat(fold(F.concat(capitalize(f["name"]), F.when(f["value"].rlike("^[ \t]"), ":").otherwise(": "), f["value"])), F.lit("\r\n")))
     return F.array_join(lines, "")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .. import grammar
-from . import codec
+from . import codec, fields
 
 DOMAIN = "struct<tag:string,atoms:array<string>,literal:string>"
 MAILBOX = f"struct<name:string,local:array<struct<tag:string,value:string>>,domain:{DOMAIN},route:array<string>,address:string>"
@@ -61,6 +61,12 @@ def mailbox(value: Column, whole: bool = False) -> Column:
     return _each(one, f"array<{MAILBOX}>")(value)
 
 
+def first_message_id(values: Column) -> Column:
+    """The first message id of an array of values that parses, or null. The array is to be a column of its own (``headers.first_message_id``)."""
+    one = lambda vs: next(([m] for v in vs if (m := grammar.message_id(v))), [])
+    return F.try_element_at(_each(one, f"array<{MESSAGE_ID}>")(values), F.lit(1))
+
+
 def message_id(value: Column) -> Column:
     one = lambda v: [m] if (m := grammar.message_id(v)) else []
     return F.try_element_at(_each(one, f"array<{MESSAGE_ID}>")(value), F.lit(1))
@@ -72,13 +78,13 @@ def render_addresses(value: Column) -> Column:
 
 
 def strip_comments(value: Column) -> Column:
-    """Text without comments of any depth."""
-    return _each(grammar.strip_comments, "string")(value)
+    """Text without comments of any depth; only texts with a parenthesis go to Python."""
+    return F.coalesce(_each(grammar.strip_comments, "string")(F.when(F.instr(value, "(") > 0, value)), value)
 
 
 def fold(line: Column) -> Column:
-    """A header line folded at 78 columns."""
-    return _each(grammar.fold, "string")(line)
+    """A header line folded at 78 columns, without Python."""
+    return fields.fold(line)
 
 
 def encoded_word(text: Column) -> Column:
@@ -96,18 +102,18 @@ def encoded_word_native(text: Column) -> Column:
 
 def decode_words(text: Column) -> Column:
     """Text with its encoded words decoded; invalid ones stay. Texts without one pass as they are."""
-    return F.when(text.rlike(_WORD), _each(grammar.decode_words, "string")(text)).otherwise(text)
+    return F.coalesce(_each(grammar.decode_words, "string")(F.when(text.rlike(_WORD), text)), text)
 
 
 def make_word(text: Column, encoding: str = "B", charset: str = "UTF-8") -> Column:
-    """An encoded word of UTF-8 text."""
+    """An encoded word of UTF-8 text; null for bytes that are none."""
     inner = F.regexp_replace(F.base64(text.cast("binary")), "\r\n", "") if encoding.upper() == "B" else codec.encode_q(text)
-    return F.concat(F.lit(f"=?{charset}?{encoding.upper()}?"), inner, F.lit("?="))
+    return F.when(F.is_valid_utf8(text.cast("string")), F.concat(F.lit(f"=?{charset}?{encoding.upper()}?"), inner, F.lit("?=")))
 
 
 def is_normalized(word: Column) -> Column:
-    """Whether the word's data could be decoded."""
-    return word["data"].isNotNull()
+    """Whether the word's charset is known."""
+    return F.coalesce(~word["error"].startswith(grammar.UNKNOWN), word.isNotNull())
 
 
 def same_word(a: Column, b: Column) -> Column:

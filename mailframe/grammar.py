@@ -11,6 +11,8 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+from .functions import registry
+
 ATEXT = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~\-\u0080-\U0010FFFF]"
 _FOLD = re.compile(r"\r\n[ \t]+")
 _TOKEN = re.compile(rf"(?P<wsp>[ \t\r\n]+)|(?P<atom>{ATEXT}+)|\"(?P<quoted>(?:[^\"\\]|\\.)*)\"|\[(?P<literal>(?:[^\[\]\\]|\\.)*)\]|(?P<mark>[<>()@,;:.])", re.DOTALL)
@@ -71,12 +73,15 @@ def decode_q(text: str) -> bytes:
     return bytes(out)
 
 
+UNKNOWN = "unknown charset"
+
+
 def decode_charset(raw: bytes, charset: str) -> tuple[str, str | None]:
-    """(text, error). An unknown charset gives the bytes read as UTF-8, with what isn't replaced."""
+    """(text, error). The text of an unknown charset is its bytes read as UTF-8, with what isn't replaced."""
     try:
         return raw.decode(charset), None
     except LookupError:
-        return raw.decode("utf-8", "replace"), None
+        return raw.decode("utf-8", "replace"), f"{UNKNOWN} {charset}"
     except UnicodeDecodeError as e:
         return raw.decode(charset, "replace"), f"not {charset}: {e.reason}"
 
@@ -347,7 +352,7 @@ def content_type(value: str) -> tuple[str, str, list[tuple[str, str]]] | None:
     """(type, subtype, parameters in order); what follows the last whole parameter is ignored."""
     value = strip_comments(unfold(value))
     m = _TYPE.match(value)
-    if not m or (re.match("[xX]", m[2]) and not re.match("[xX]-", m[2]) and m[2].lower() not in ("xml", "x")):
+    if not m or (re.match("[xX](?!-)", m[2]) and (m[1].lower(), m[2].lower()) not in registry.known()):
         return None
     params, at = [], m.end()
     while p := _PARAMETER.match(value, at):

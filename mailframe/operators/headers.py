@@ -23,6 +23,14 @@ def field_rows(mails: DataFrame, raw_col: str = "raw", keep: tuple[str, ...] = (
     return rows.withColumns({"name_lc": F.lower("name"), "kind": fields.kind(F.col("name"), schema)})
 
 
+def first_message_id(mails: DataFrame, raw_col: str = "raw", keep: tuple[str, ...] = ("mail_id",)) -> DataFrame:
+    """(keep, message_id): the first Message-ID of each message that parses, or null."""
+    values = F.transform(fields.assoc(fields.header(F.col(raw_col)), "message-id"), lambda f: f["value"])
+    # a generator between them, since Spark loses a Python function whose argument compares lambda variables
+    rows = mails.select(*keep, F.explode(F.array(F.coalesce(values, F.array().cast("array<string>")))).alias("_ids"))
+    return rows.select(*keep, words.first_message_id(F.col("_ids")).alias("message_id"))
+
+
 def typed(rows: DataFrame) -> DataFrame:
     """Field rows with a column for each kind of value, null where the kind is another or the value doesn't parse.
 

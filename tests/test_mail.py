@@ -1,10 +1,11 @@
 """Columns against the grammar and fixed vectors, part trees, generators, sources and streams."""
 
 import datetime
+import random
 
 import pytest
 from mailframe import grammar
-from mailframe.functions import codec, ctype, dates, fields, words
+from mailframe.functions import codec, ctype, dates, fields, registry, running, words
 from mailframe.operators import generate, headers, mime
 from mailframe.plans import queries, synth
 from mailframe.sources import mail as source
@@ -56,6 +57,67 @@ def test_native_and_grammar_agree(spark):
         assert (None if got is None else bytes(got)) == {"aGk=": b"hi", "aG\r\nk=": b"hi", "": b""}.get(raw)
 
 
+def test_long_values_need_no_stack(spark):
+    """A megabyte in a comment, a quoted value, escapes, parameters; many parentheses; 100,000 fields."""
+    n = 1 << 20
+    values = ["a/b (" + "c" * n + "); x=y", 'a/b; x="' + "q" * n + '"', 'a/b; x="' + "\\q" * n + '"', "a/b (" + "\\)" * n + "); x=y", "a/b" + "; p=v" * 50000, "a/b " + "(" * 20000, "a/b " + "(x)" * 20000 + "; x=y"]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    got = {r.i: r for r in frame.select("i", ctype.parse(F.col("v")).alias("c"), dates.parse(F.concat(F.lit("1 Jan 2020 10:00 Z "), F.col("v"))).alias("d")).collect()}
+    assert [len(got[i].c.params) for i in range(7)] == [1, 1, 1, 1, 50000, 0, 1] and all(r.d.year == 2020 for r in got.values())
+    assert [len(got[i].c.params[0].value) for i in (0, 1, 2, 3)] == [1, n, n, 1]
+    raw = "".join(f"X-{i}: {i}\r\n" for i in range(100000)).encode() + b"\r\n"
+    h = spark.createDataFrame([(raw,)], "raw binary").select(fields.header(F.col("raw")).alias("h")).select(F.size("h").alias("n"), F.col("h")[99999].alias("last")).first()
+    assert h.n == 100000 and h.last.value == " 99999" and h.last.b == len(raw) - 2
+
+
+def test_comments_of_any_depth(spark):
+    rng = random.Random(1)
+    values = ["".join(rng.choices(["(", ")", "a", '"', "\\", " "], weights=[4, 4, 3, 1, 1, 1], k=rng.randrange(30))) for _ in range(2000)] + ["(" * 40 + "x" + ")" * 40 + "y"]
+    # what is open to the end or closed without a start is no comment to both
+    whole = [v for v in values if v.count('"') % 2 == 0 and "\\" not in v and '"' not in v and _balanced(v)]
+    got = spark.createDataFrame([(v,) for v in whole], "v string").select("v", fields.strip_comments(F.col("v")).alias("s")).collect()
+    assert len(whole) > 100 and all(r.s == grammar.strip_comments(r.v) for r in got)
+
+
+def _balanced(text):
+    depth = 0
+    for c in text:
+        depth += (c == "(") - (c == ")")
+        if depth < 0:
+            return False
+    return depth == 0
+
+
+def test_folding_equals_the_plain_way(spark):
+    rng = random.Random(2)
+    lines = ["".join(rng.choices(["a", "bc", " ", "  ", "word", "x" * 30, "é"], weights=[3, 3, 6, 1, 4, 1, 1], k=rng.randrange(120))) for _ in range(2000)] + ["x" * 200 + " y " + "z" * 100, "", " ", "a " * 100000]
+    for margin in (78, 20):
+        got = spark.createDataFrame([(x,) for x in lines], "x string").select("x", fields.fold(F.col("x"), margin).alias("y")).collect()
+        for r in got:
+            assert r.y == grammar.fold(r.x, margin), r.x
+
+
+def test_fields_before_a_fault(spark):
+    raws = [b"A: 1\r\nB: 2\r\n\r\nbody", b"A: 1\r\nno field\r\nB: 2\r\n\r\n", b"", b"A: 1\r\n", b"\r\nbody", b"x\r\n"]
+    got = [r.d for r in spark.createDataFrame([(i, x) for i, x in enumerate(raws)], "i int, raw binary").orderBy("i").select(fields.decode(F.col("raw")).alias("d")).collect()]
+    assert [([f.name for f in d.fields], d.malformed) for d in got] == [(["A", "B"], None), (["A"], "no field"), ([], ""), (["A"], ""), ([], None), ([], "x")]
+
+
+def test_registry_file(spark, tmp_path):
+    (tmp_path / "types").write_text("# a registry\napplication/made-up  mup\nAudio/XMade\nnot a type\n")
+    more = registry.read(spark, str(tmp_path / "types"))
+    assert more == ("Audio/XMade", "application/made-up")
+    got = spark.createDataFrame([("audio/xmade",), ("application/MADE-UP",), ("audio/xother",)], "v string").select(ctype.parse(F.col("v"), more).alias("c")).collect()
+    assert [r.c and (r.c.subty, r.c.subty_tag) for r in got] == [("XMade", "iana"), ("made-up", "iana"), None]
+
+
+def test_running_sums(spark):
+    rng = random.Random(3)
+    rows = [[rng.randrange(100) for _ in range(n)] for n in (0, 1, 2, 3, 5, 10, 97, 1000)]
+    got = spark.createDataFrame([(x,) for x in rows], "x array<int>").select("x", running(F.col("x")).alias("y")).collect()
+    assert all(r.y == [sum(r.x[:i]) for i in range(len(r.x))] for r in got) and len(got) == len(rows)
+
+
 def test_encoded_words_without_python(spark):
     frame = spark.createDataFrame([("=?ISO-8859-1?Q?Keld_J=F8rn?=",), ("=?utf-8?b?w6k=?= rest",), ("=?KOI8-R?Q?=D1?=",), ("plain",)], "x string")
     got = frame.select(words.encoded_word_native(F.col("x")).alias("w")).collect()
