@@ -73,6 +73,53 @@ def semi_join(rows: DataFrame, found: DataFrame, keys: list[str], n: str) -> Dat
     return rows.join(hot, keys, "left_semi").unionAll(others)
 
 
+def inner_join(rows: DataFrame, found: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """rows joined to ``found`` as in ``semi_join``, with found's other columns but n."""
+    most = hot_bound(found.agg(F.sum(n)).first()[0] or 0)
+    hot, others = (found.where(x).drop(n) for x in (F.col(n) > most, F.col(n) <= most))
+    return rows.join(F.broadcast(hot), keys).unionAll(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(others, keys))
+
+
+def left_join(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """rows, a written table, with the other columns of ``found``, which has a row a key at most, null where there is none.
+
+    Rows of hot keys get them from a broadcast of at most ``HOT`` keys and are dealt evenly; the others meet by a shuffle.
+    """
+    values = [x for x in found.columns if x not in keys]
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_bound(rows.count())).select(*keys)
+    hot = hot.join(found.withColumnsRenamed({x: f"_hot_{x}" for x in values}), keys, "left").withColumn("_hot", F.lit(True))
+    marked = rows.join(F.broadcast(hot), keys, "left").withColumn("_deal", F.when(F.col("_hot"), F.monotonically_increasing_id()).otherwise(-1))
+    out = marked.join(found.withColumn("_deal", F.lit(-1).cast("long")), [*keys, "_deal"], "left")
+    return out.select(*rows.columns, *(F.when(F.col("_hot"), F.col(f"_hot_{x}")).otherwise(F.col(x)).alias(x) for x in values))
+
+
+def salted_join(rows: DataFrame, found: DataFrame, key: str, by: DataFrame) -> DataFrame:
+    """rows joined to ``found``, which has a row a key with much in it, such as a text.
+
+    A hot key's rows are dealt over as many places as they have bounds, and its row of ``found`` goes to each; ``by`` has the
+    keys of rows to count.
+    """
+    most = hot_bound(by.count())
+    hot = F.broadcast(by.groupBy(key).agg(F.ceil(F.count("*") / most).alias("_places")).where("_places > 1"))
+    places = F.coalesce("_places", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("_place", F.pmod(F.xxhash64(*by.columns), places)).drop("_places")
+    each = found.join(hot, key, "left").withColumn("_place", F.explode(F.sequence(F.lit(0).cast("long"), places - 1))).drop("_places")
+    return dealt.join(each, [key, "_place"]).drop("_place")
+
+
+#: Copies of a row that one task writes, at most.
+COPIES = 1 << 16
+
+
+def each_copy(df: DataFrame, n: str, name: str) -> DataFrame:
+    """df, a written table, with each row n times (a column that goes), numbered from 0; the copies of a row are dealt to tasks by thousands."""
+    few = df.where(F.col(n) <= COPIES).withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
+    parts = df.where(F.col(n) > COPIES).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / COPIES)))).repartition("_part")
+    last = F.least(F.col(n), (F.col("_part") + 1) * COPIES) - 1
+    many = parts.withColumn(name, F.explode(F.sequence(F.col("_part") * COPIES, last))).drop("_part")
+    return few.unionAll(many).drop(n)
+
+
 def power_of_two(x: float, most: int) -> int:
     """The largest power of two up to x, from 1 to most."""
     n = 1

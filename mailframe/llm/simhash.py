@@ -9,9 +9,11 @@ fingerprint v and a radius m; a fingerprint x is at home inside if d(x, v) <= m,
 bound, whatever lies within r of x is inside or outside as x is, unless |d(x, v) - m| is small; in that overlap x
 visits the other side as well. So every pair within r meets in the home leaf of either. In a leaf the home
 fingerprints are compared with all others, rings of equal distance to a further vantage with the rings at most r
-away, down to blocks small enough to compare bit by bit. The tree is fitted on a bounded sample
-(at most ``SAMPLE`` fingerprints, by a range of hashes); every fingerprint is dealt through it, so that results are exact
-whatever the sample. Large leaves are cut into a grid of blocks of at most ``BLOCK`` fingerprints a side.
+away, down to blocks small enough to compare bit by bit. The tree is as deep as it takes to have ``HOME`` fingerprints
+at home in a leaf. Its upper levels are fitted on a bounded sample (at most ``SAMPLE`` fingerprints, by a range of
+hashes); below them, where the sample ends, a node's vantage is a number mixed from its place, so that no table grows with the
+rows. Every fingerprint is dealt through the tree, so that results are exact whatever the sample and the vantages. Leaves that
+are large all the same are cut into a grid of blocks of at most ``BLOCK`` fingerprints a side.
 
 Copies share a fingerprint and count once. A block gives a star for each of its groups and not all pairs.
 Stars of all blocks are joined to components by rounds of alternating large and small stars, each written to the
@@ -32,11 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stash
+from .common import inner_join, stash
 
 RADIUS = 3
 #: Fingerprints that the tree is fitted on; those at home in a leaf, about; side of a block; comparisons done at once.
 SAMPLE, HOME, BLOCK, AT_ONCE = 1 << 16, 2048, 1 << 14, 1 << 19
+#: Dealt fingerprints that leave a task at once, about.
+DEALT = 1 << 16
+_ALL = (1 << 64) - 1
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 14
 
@@ -76,15 +81,26 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
+def _vantage(place: int) -> int:
+    """A number of 64 mixed bits for a node below the sample."""
+    x = (place * 0x9E3779B97F4A7C15 + 0xD1B54A32D192ED03) & _ALL
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> shift)) * odd & _ALL
+    return x ^ (x >> 31)
+
+
 class Tree:
-    """The upper levels of a vantage-point tree, fitted on a sample."""
+    """The vantage-point tree: upper levels fitted on a sample, those below by place.
+
+    The root's place is 1; a node's children have twice its place and one more than that.
+    """
 
     def __init__(self, sample: np.ndarray, depth: int, radius: int = RADIUS, seed: int = 1) -> None:
-        self.radius, self.leaves = radius, 0
-        self.nodes: list[tuple[int, int, int, int]] = []  # vantage, m, inside, outside; a leaf k is -1 - k
-        self.root = self._grow(sample, depth, np.random.default_rng(seed))
+        self.radius, self.depth = radius, depth
+        self.nodes: dict[int, tuple[int, int]] = {}  # place: vantage, greatest distance inside
+        self._grow(sample, 1, depth, np.random.default_rng(seed))
 
-    def _grow(self, x: np.ndarray, depth: int, rng: np.random.Generator) -> int:
+    def _grow(self, x: np.ndarray, place: int, depth: int, rng: np.random.Generator) -> None:
         best = None
         if depth and len(x) > 16:
             for v in rng.choice(x, min(12, len(x)), replace=False):
@@ -95,30 +111,31 @@ class Tree:
                     worst = max(inside, len(x) - inside) + both
                     if 0 < inside < len(x) and (best is None or worst < best[0]):
                         best = (worst, v, m, d)
-        if best is None:
-            self.leaves += 1
-            return -self.leaves
-        _, v, m, d = best
-        at = len(self.nodes)
-        self.nodes.append((0, 0, 0, 0))
-        self.nodes[at] = (int(v), m, self._grow(x[d <= m], depth - 1, rng), self._grow(x[d > m], depth - 1, rng))
-        return at
+        if best is not None:
+            _, v, m, d = best
+            self.nodes[place] = int(v), m
+            self._grow(x[d <= m], 2 * place, depth - 1, rng)
+            self._grow(x[d > m], 2 * place + 1, depth - 1, rng)
+
+    def node(self, place: int) -> tuple[int, int]:
+        """Vantage and greatest distance inside; for numbers of 64 random bits half the distances are up to 31 or 32."""
+        return self.nodes.get(place) or (_vantage(place), 31 + place.bit_length() % 2)
 
     def deal(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(leaf, fingerprints that reach it, whether each is at home there)."""
-        todo = [(self.root, x, np.ones(len(x), bool))]
+        todo = [(1, x, np.ones(len(x), bool))]
         while todo:
-            at, x, home = todo.pop()
-            if at < 0:
-                yield -1 - at, x, home
+            place, x, home = todo.pop()
+            if place.bit_length() > self.depth:
+                yield place, x, home
                 continue
-            v, m, inside, outside = self.nodes[at]
+            v, m = self.node(place)
             d = _distance(x, np.uint64(v)).astype(np.int16)
             a, b = d <= m + self.radius, d > m - self.radius
             if a.any():
-                todo.append((inside, x[a], home[a] & (d[a] <= m)))
+                todo.append((2 * place, x[a], home[a] & (d[a] <= m)))
             if b.any():
-                todo.append((outside, x[b], home[b] & (d[b] > m)))
+                todo.append((2 * place + 1, x[b], home[b] & (d[b] > m)))
 
 
 class _Groups:
@@ -188,17 +205,29 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     share = min(SAMPLE, 64 << min(depth, 10)) / 2 / max(1, n)
     some = distinct if share >= 1 else distinct.where(F.xxhash64("fp") < F.lit(int(share * 2.0**64) - (1 << 63)))
     taken = some.select("fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64)
-    tree = Tree(taken.view(np.uint64), min(depth, 10), radius)
+    tree = Tree(taken.view(np.uint64), depth, radius)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for leaf, x, home in tree.deal(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), leaf, np.int32)), pa.array(x.view(np.int64)), pa.array(home)], names=["leaf", "fp", "home"])
+        def out() -> pa.RecordBatch:
+            leaves = np.repeat(np.array([h[0] for h in held], np.int64), [len(h[1]) for h in held])
+            return pa.RecordBatch.from_arrays([pa.array(leaves), pa.array(np.concatenate([h[1] for h in held]).view(np.int64)), pa.array(np.concatenate([h[2] for h in held]))], names=["leaf", "fp", "home"])
 
-    dealt = stash(distinct.select("fp").mapInArrow(deal, "leaf int, fp long, home boolean"), "leaves")
-    # a leaf of the tree is a row here: no more than the sample has
+        held, n = [], 0
+        for b in batches:
+            for part in tree.deal(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)):
+                held.append(part)
+                n += len(part[1])
+                if n >= DEALT:
+                    yield out()
+                    held, n = [], 0
+        if held:
+            yield out()
+
+    dealt = stash(distinct.select("fp").mapInArrow(deal, "leaf long, fp long, home boolean"), "leaves")
     sizes = dealt.groupBy("leaf").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("down"), F.ceil(F.count("*") / BLOCK).cast("int").alias("across"))
-    there = dealt.join(F.broadcast(sizes), "leaf")
+    # only leaves that are one block need no place in a grid; Spark broadcasts the others' sizes if they are few
+    grids = stash(sizes.where("down <> 1 OR across <> 1"), "grids")
+    there = dealt.join(grids, "leaf", "left").withColumns({"down": F.coalesce("down", F.lit(1)), "across": F.coalesce("across", F.lit(1))})
     own = F.pmod(F.xxhash64("fp", F.lit(1)), F.greatest("down", F.lit(1))).cast("int")
     place = F.pmod(F.xxhash64("fp", F.lit(2)), F.col("across")).cast("int")
     a = there.where("home").select("leaf", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j"), "fp", F.lit(True).alias("home"))
@@ -218,15 +247,15 @@ def components(edges: DataFrame) -> DataFrame:
     if edges.isEmpty():
         return edges
     while True:
-        # large stars: whatever is above a point hangs from the least around it
+        # large stars: whatever is above a point hangs from the least around it; a point of very many edges is hot
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = stash(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "least")
         up = edges.select(F.col("b").alias("a"), F.col("a").alias("v"))
-        large = up.join(least, "a").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = stash(inner_join(up, least, ["a"], "n").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
         # small stars: a point and its lesser ones hang from the least of them
-        lower = large.groupBy("a").agg(F.min("b").alias("b"))
-        joined = large.withColumnRenamed("b", "v").join(lower.withColumnRenamed("b", "m"), "a").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        edges = stash(joined.where("a <> b").unionAll(lower).distinct(), "stars")
+        lower = stash(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "lower")
+        joined = inner_join(large.withColumnRenamed("b", "v"), lower, ["a"], "n").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        edges = stash(joined.where("a <> b").unionAll(lower.select("a", F.col("m").alias("b"))).distinct(), "stars")
         n, points = edges.agg(F.count("*"), F.count_distinct("a")).first()
         # each point has one edge, and none to a point that has one: the stars are the components
         if n == points and edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
@@ -236,13 +265,13 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each of df's: doc_id, fingerprint (16 hexadecimal digits), component_id."""
     docs = stash(fingerprints(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_t")), "_t", "fp").drop("_t"), "fingerprints")
-    known = stash(docs.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")
-    roots = components(links(known, radius))
+    known = stash(docs.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "distinct")
+    roots = components(links(known.select("fp"), radius))
     # (fingerprint, its component's least fingerprint), then the least id of each component
-    of = known.join(roots.withColumnRenamed("a", "fp"), "fp", "left").select("fp", F.coalesce("b", "fp").alias("root"), "doc_id")
-    least = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of = of.join(least, "root").select("fp", "component_id")
-    return docs.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of = stash(known.join(roots.withColumnRenamed("a", "fp"), "fp", "left").select("fp", F.coalesce("b", "fp").alias("root"), "doc_id", "n"), "roots")
+    least = stash(of.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("m")), "components")
+    own = stash(inner_join(of.select("root", "fp", "n"), least, ["root"], "m").select("fp", "component_id", "n"), "own")
+    return inner_join(docs, own, ["fp"], "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def first_of_each(df: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,8 +1,9 @@
 import random
 import re
 
+import pytest
 import xxhash
-from mailframe.llm import queries, simhash
+from mailframe.llm import common, queries, simhash
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -50,17 +51,21 @@ def test_query_equals_brute_force(spark):
     check(queries.op3_simhash(spark, sf).collect(), docs)
 
 
-def test_odd_rows(odd, none):
+def test_odd_rows(odd, none, monkeypatch):
     check(simhash.near_duplicates(odd).collect(), [(r.doc_id, r.text) for r in odd.collect()])
     assert simhash.near_duplicates(none).collect() == []
+    with monkeypatch.context() as m:
+        m.setattr(common, "HOT", 1)
+        check(simhash.near_duplicates(odd).collect(), [(r.doc_id, r.text) for r in odd.collect()])
     kept = simhash.first_of_each(odd)
     _, groups = brute_components([(r.doc_id, brute_fingerprint(r.text)) for r in odd.collect()])
     assert kept.columns == odd.columns and kept.count() == len(groups)
     assert simhash.first_of_each(none).collect() == []
 
 
-def test_links_in_a_deep_tree(spark, monkeypatch):
-    """Chains and balls of fingerprints, leaves cut into grids: as connected as all pairs are."""
+@pytest.mark.parametrize("home", (16, 2))
+def test_links_in_a_deep_tree(spark, monkeypatch, home):
+    """Chains and balls of fingerprints, levels below the sample, leaves cut into grids: as connected as all pairs are."""
     rng = random.Random(8)
     points = {0, (1 << 64) - 1}
     for _ in range(60):
@@ -70,8 +75,9 @@ def test_links_in_a_deep_tree(spark, monkeypatch):
             for _ in range(rng.randrange(1, 6)):
                 x ^= 1 << rng.randrange(64)
             points.add(x)
-    for name, value in (("HOME", 16), ("BLOCK", 64), ("AT_ONCE", 256)):
+    for name, value in (("HOME", home), ("BLOCK", 64), ("AT_ONCE", 256), ("DEALT", 500)):
         monkeypatch.setattr(simhash, name, value)
+    monkeypatch.setattr(common, "HOT", home)
     signed = [(x - (1 << 64) if x >> 63 else x,) for x in points]
     frame = spark.createDataFrame(signed, "fp long")
     got = {r.a: r.b for r in simhash.components(simhash.links(frame)).collect()}
