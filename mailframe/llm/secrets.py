@@ -1,17 +1,20 @@
 """Secret scans over an incremental ledger of blobs, with DataFrame functions only.
 
-A version of a file is a row; its content's SHA-256 is the address of its blob. The ledger is a table of
-(blob, rules, found): which blobs a set of rules has seen and the spans it found there. A scan reads the addresses
-of all versions, leaves out the pairs of blob and rules that the ledger has, scans each remaining blob once however many
-versions or paths hold it, and adds the pairs to the ledger, those without findings too. The findings are then joined
+A version of a file is a row; its content's SHA-256 is the address of its blob. The ledger is a Parquet table of
+(blob, rules, found) under a path of its own: which blobs a set of rules has seen and the spans it found there. An update reads
+the addresses of all versions, leaves out the pairs of blob and rules that the ledger has, scans each remaining blob once however
+many versions or paths hold it, and appends the pairs to the ledger, those without findings too. The findings are then joined
 back to all versions by address. A new version of the rules has a new name and so scans every blob once more.
 
+The ledger outlives sessions. A row is true on its own, so an update that ends halfway leaves a ledger that is right, and the
+next one scans what is missing; two at a time may add a pair twice, which reads once.
+
 Spans are code points of the text, end exclusive, leftmost and non-overlapping per rule; matches that fail a
 rule's length are dropped without a second try. They are found by splitting the text at the rule's matches: a
 match's place is the length of all that precedes it.
 
-Copies of a blob meet before they move, so that a blob with very many versions is small; joining back is by a
-key that a skewed join can split. Null texts are the empty blob. Repeated rows give repeated results. Empty tables
+Copies of a blob meet before they move, so that a blob with very many versions is small; joining back leaves the versions of
+such a blob where they are (``common.left_join``). Null texts are the empty blob. Repeated rows give repeated results. Empty tables
 give no rows.
 """
 
@@ -19,10 +22,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from ..functions import let, running
+from .common import left_join, stash
 
 LEDGER = "blob string, rules string, found array<struct<start:int,kind:int,end:int>>"
 
@@ -48,21 +52,19 @@ VERSION = "base-1"
 def _matches(text: Column, rule: Rule, kind: int) -> Column:
     """Spans (start, kind, end) of a rule's matches in the text."""
     pattern = F.lit(rule.pattern)
-    sizes = F.arrays_zip(
-        F.transform(F.slice(F.split(text, rule.pattern, -1), 1, 1 << 30), F.length).alias("before"),
-        F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length).alias("size"),
-        F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length).alias("tested"),
-    )
+    before = F.transform(F.slice(F.split(text, rule.pattern, -1), 1, 1 << 30), F.length)
+    matches = F.regexp_extract_all(text, pattern, F.lit(0))
+    tested = matches if not rule.group else F.regexp_extract_all(text, pattern, F.lit(rule.group))
+    sizes = F.arrays_zip(before.alias("before"), F.transform(matches, F.length).alias("size"), F.transform(tested, F.length).alias("tested"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
 
-    def step(state: Column, x: Column) -> Column:
-        a = state["at"] + x["before"]
-        b = a + F.coalesce(x["size"], F.lit(0))
-        one = F.array(F.struct(a.alias("start"), F.lit(kind).alias("kind"), b.alias("end")))
-        return F.struct(b.alias("at"), F.when(x["tested"] >= rule.least, F.concat(state["found"], one)).otherwise(state["found"]).alias("found"))
+    def placed(x: Column) -> Column:
+        at = running(F.transform(x, lambda y: y["before"] + F.coalesce(y["size"], F.lit(0))))
+        each = F.transform(F.arrays_zip(x.alias("x"), at.alias("at")), lambda y: F.struct((y["at"] + y["x"]["before"]).cast("int").alias("start"), y["x"]["size"].alias("size"), y["x"]["tested"].alias("tested")))
+        good = F.filter(each, lambda y: y["tested"] >= rule.least)
+        return F.transform(good, lambda y: F.struct(y["start"].alias("start"), F.lit(kind).alias("kind"), (y["start"] + y["size"]).alias("end")))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(sizes, start, step, lambda s: s["found"])).otherwise(none)
+    return F.when(text.rlike(rule.pattern), let(sizes, placed)).otherwise(none)
 
 
 def spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -74,22 +76,38 @@ def address(text: Column) -> Column:
     return F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256)
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = VERSION, text_col: str = "text") -> DataFrame:
-    """The ledger's new rows, written to the shared folder: the blobs of docs that these rules haven't seen."""
-    spark = docs.sparkSession
-    blobs = docs.select(address(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+def _scanned(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], version: str, text_col: str) -> DataFrame:
+    """The rows that the ledger lacks."""
+    text = F.col(text_col).cast("string")
+    blobs = docs.select(address(text).alias("blob"), F.coalesce(text, F.lit("")).alias("t")).dropDuplicates(["blob"])
     if ledger is not None:
         blobs = blobs.join(ledger.where(F.col("rules") == version).select("blob"), "blob", "left_anti")
-    out = new_path(spark, "ledger")
-    blobs.dropDuplicates(["blob"]).select("blob", F.lit(version).alias("rules"), spans(F.col("t"), rules).alias("found")).write.parquet(out)
-    return spark.read.schema(LEDGER).parquet(out)
+    return blobs.select("blob", F.lit(version).alias("rules"), spans(F.col("t"), rules).alias("found"))
+
+
+def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = VERSION, text_col: str = "text") -> DataFrame:
+    """The rows that a ledger lacks for docs, written to the shared folder for as long as the driver lives."""
+    return stash(_scanned(docs, ledger, rules, version, text_col), "ledger")
+
+
+def open_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger at a path; an empty one is made where there is none."""
+    spark.createDataFrame([], LEDGER).write.mode("ignore").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def update(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, version: str = VERSION, text_col: str = "text") -> DataFrame:
+    """The ledger at a durable path after the blobs of docs that these rules haven't seen were scanned and appended to it."""
+    spark = docs.sparkSession
+    _scanned(docs, open_ledger(spark, path), rules, version, text_col).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
 
 
 def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, version: str = VERSION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each version: doc_id, blob and found, the spans in its blob."""
     found = ledger.where((F.col("rules") == version) & (F.size("found") > 0)).select("blob", "found").dropDuplicates(["blob"])
-    versions = docs.select(F.col(id_col).cast("long").alias("doc_id"), address(F.col(text_col)).alias("blob"))
-    return versions.join(found, "blob", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<start:int,kind:int,end:int>>")))
+    versions = stash(docs.select(F.col(id_col).cast("long").alias("doc_id"), address(F.col(text_col)).alias("blob")), "versions")
+    return left_join(versions, found, ["blob"]).withColumn("found", F.coalesce("found", F.array().cast("array<struct<start:int,kind:int,end:int>>")))
 
 
 def report(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from mailframe.llm import queries, secrets
+from mailframe.llm import common, queries, secrets
 from mailframe.llm.secrets import Rule
 
 KINDS = ("assign", "access", "hex")
@@ -58,3 +58,29 @@ def test_only_unseen_pairs_are_scanned(spark):
     assert renamed.count() == 3
     rows = secrets.report(secrets.findings(then, both.union(renamed), other, "other-1"), other).collect()
     assert {r.doc_id: r.spans for r in rows} == {1: "", 2: "word:0:7", 3: "", 4: "", 5: "word:0:7"}
+
+
+def test_a_ledger_outlives_its_session(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    first = spark.createDataFrame([(1, "token=abcdefghij"), (2, None)], "doc_id long, text string")
+    then = first.union(spark.createDataFrame([(3, "x" * 10 + "secret: 0123456789"), (1, "token=abcdefghij")], "doc_id long, text string"))
+    assert secrets.open_ledger(spark, path).count() == 0 and secrets.update(first, path).count() == 2
+    other = spark.newSession()
+    again = other.createDataFrame([tuple(r) for r in then.collect()], "doc_id long, text string")
+    assert secrets.update(again, path).count() == 3 and secrets.update(again, path).count() == 3
+    same(secrets.report(secrets.findings(then, secrets.open_ledger(spark, path))).collect(), [tuple(r) for r in then.collect()])
+    rules = (Rule("word", "secret"),)
+    assert secrets.update(then, path, rules, "word-1").count() == 6
+    rows = secrets.report(secrets.findings(then, secrets.open_ledger(spark, path), rules, "word-1"), rules).collect()
+    assert sorted((r.doc_id, r.spans) for r in rows) == [(1, ""), (1, ""), (2, ""), (3, "word:10:16")]
+
+
+def test_very_many_matches_and_copies(spark, monkeypatch):
+    """100,000 secrets in one text take seconds; versions of one blob that are hot keep their findings, or none."""
+    monkeypatch.setattr(common, "HOT", 3)
+    many = "token=abcdefghij " * 100000
+    docs = [(1, many), *((i, "api_key: 12345678") for i in range(2, 12)), *((i, "clean") for i in range(12, 22)), (22, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = secrets.report(secrets.findings(frame, secrets.scan(frame))).collect()
+    same(rows, docs)
+    assert max(r.n_assign for r in rows) == 100000
