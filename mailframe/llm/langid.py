@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions import let
 from .common import stash
 
 SAMPLE, BINS, EFFECTIVE, SMOOTHING, LEAST = 1500, 1 << 16, 300, 20.0, 0.5
@@ -113,16 +114,18 @@ def scored(df: DataFrame, model: Model, text_col: str, name: str = "_ll") -> Dat
     return df.mapInArrow(each, out)
 
 
-def _softmax(ll: Column) -> Column:
-    e = F.transform(ll, lambda x: F.exp(x - F.array_max(ll)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+def _softmax(logs: Column) -> Column:
+    def shares(e: Column) -> Column:
+        return let(F.aggregate(e, F.lit(0.0), lambda a, y: a + y), lambda t: F.transform(e, lambda x: x / t))
+
+    return let(logs, lambda ll: let(F.array_max(ll), lambda m: let(F.transform(ll, lambda x: F.exp(x - m)), shares)))
 
 
 def _levels(host: Column) -> tuple[Column, Column, Column]:
     """host, domain and suffix of a host name, in lower case; a name without dots is its own domain and has no suffix."""
     host = F.lower(host)
     parts = F.split(host, r"\.")
-    return host, F.when(F.size(parts) < 2, host).otherwise(F.concat_ws(".", F.slice(parts, -2, 2))), F.when(F.size(parts) >= 2, F.element_at(parts, -1))
+    return host, F.when(host.isNull() | (F.size(parts) < 2), host).otherwise(F.concat_ws(".", F.slice(parts, -2, 2))), F.when(F.size(parts) >= 2, F.element_at(parts, -1))
 
 
 @dataclass
@@ -197,15 +200,15 @@ def identify(df: DataFrame, model: Model, keys: list[str], text_col: str = "text
     return out.select(*keys, F.col("_lang").alias("lang"), F.round("_posterior", 6).alias("posterior"), F.col("_accepted").alias("accepted"), F.col("_alone").alias("text_lang"))
 
 
-def accepted(docs: DataFrame, model: Model, text_col: str = "text", declared_col: str = "lang", host_col: str = "source") -> DataFrame:
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", declared_col: str | None = None, host_col: str = "source") -> DataFrame:
     """The documents whose language is known, with all their columns as they are.
 
-    Texts are scored twice, once for the counts of all rows and once to decide, so that they need not be written.
+    A column of labels that the model was fitted on is no declaration. Texts are scored twice, once for the counts of all rows and once to decide, so that they need not be written.
     """
-    plain = docs.columns
-    slim = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(declared_col).cast("string").alias("declared"), F.col(host_col).cast("string").alias("host"))
+    plain, declared = docs.columns, F.col(declared_col) if declared_col else F.lit(None).cast("string")
+    slim = docs.select(F.col(text_col).cast("string").alias("_text"), declared.cast("string").alias("declared"), F.col(host_col).cast("string").alias("host"))
     found = gather(stash(scored(slim, model, "_text").drop("_text"), "likelihoods"), model)
-    return fused(scored(docs, model, text_col), model, found, F.col(declared_col), F.col(host_col)).where("_accepted").select(*plain)
+    return fused(scored(docs, model, text_col), model, found, declared, F.col(host_col)).where("_accepted").select(*plain)
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:

@@ -1,3 +1,6 @@
+import math
+import random
+import re
 from collections import Counter
 
 from mailframe.llm import langid, queries
@@ -66,3 +69,58 @@ def test_copies_and_rare_labels_keep_their_share(spark):
         langid.Model.fit = classmethod(fit)
     assert model.classes == ["aa", "bb", "cc", "und"]
     assert Counter(x for x, _ in fitted) == {"aa": 20, "bb": 50, "cc": 2} and len(set(fitted)) == 72
+
+
+def brute_fusion(rows, model):
+    """(language, posterior) of (text, declared, host) rows, with dictionaries in place of aggregations and joins."""
+    classes, k = model.classes, len(model.classes)
+    soft = lambda v: [math.exp(x - max(v)) / sum(math.exp(y - max(v)) for y in v) for x in v]
+    scores = [model.scores(t) for t, _, _ in rows]
+    levels = []
+    for _, _, host in rows:
+        parts = host.lower().split(".") if host is not None else []
+        levels.append((host and host.lower(), ".".join(parts[-2:]) if len(parts) > 1 else host and host.lower(), parts[-1] if len(parts) > 1 else None) if host is not None else (None, None, None))
+    shares = [None if s is None else soft(list(s)) for s in scores]
+    seen = [(p, d) for p, (_, d, _) in zip(shares, rows) if p and d in model.languages]
+    rate = min((sum(classes[max(range(k), key=lambda i: (p[i], -i))] == d for p, d in seen) + 9) / (len(seen) + 10), 0.999)
+    count = lambda level: {x: [sum(p[i] for p, at in zip(shares, levels) if p and at[level] == x) for i in range(k)] for x in {at[level] for p, at in zip(shares, levels) if p} if x is not None}
+    total = [sum(p[i] for p in shares if p) for i in range(k)]
+    overall = [(x + 1) / (sum(total) + k) for x in total]
+    smooth = lambda c, base: [(x + langid.SMOOTHING * b) / (sum(c) + langid.SMOOTHING) for x, b in zip(c, base)]
+    suffix = {x: smooth(c, overall) for x, c in count(2).items()}
+    of = {at[0]: at for at in levels}
+    domain = {x: smooth(c, suffix.get(next(at[2] for at in levels if at[1] == x), overall)) for x, c in count(1).items()}
+    host = {x: smooth(c, domain[of[x][1]]) for x, c in count(0).items()}
+    out = []
+    for (text, declared, _), s, at in zip(rows, scores, levels):
+        if s is None:
+            out.append((langid.UND, 1.0))
+            continue
+        prior = host.get(at[0]) or suffix.get(at[2]) or overall
+        said = re.match(r"\s*([A-Za-z]*)", declared or "")[1].lower()
+
+        def says(value, r, c):
+            if value not in model.languages:
+                return 0.0
+            return math.log(1 / k) if c == langid.UND else math.log(r if c == value else (1 - r) / (k - 1))
+
+        p = soft([s[i] + math.log(prior[i]) + says(said, rate, c) + says(langid.COUNTRY.get(at[2]), 0.6, c) for i, c in enumerate(classes)])
+        best = max(range(k), key=lambda i: p[i])
+        out.append((classes[best], p[best]))
+    return out
+
+
+def test_fusion_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model, rng = langid.fit(docs, sample=50), random.Random(3)
+    texts = [r.text or "" for r in docs.limit(150).collect()]
+    hosts = [None, "", "books", "a.example.fr", "B.example.FR", "example.fr", "x.y.example.de", "w.es", "host.org", "z.host.org", "only.uk"]
+    rows = []
+    for _ in range(400):
+        words = rng.choice(texts).split()
+        rows.append((rng.choice([" ".join(words[: rng.choice((1, 2, 3, 8, 60))]), " ".join(words[:2]), "12 34", "", None]), rng.choice([None, None, "fr", "de-AT", " EN", "es", "xx", "12"]), rng.choice(hosts)))
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, text string, declared string, host string").repartition(3)
+    got = {r.i: r for r in langid.identify(frame, model, ["i"]).collect()}
+    for i, (language, posterior) in enumerate(brute_fusion(rows, model)):
+        assert abs(got[i].posterior - posterior) < 2e-6 and (got[i].lang == language or posterior < 0.51), (rows[i], got[i], language, posterior)
+        assert got[i].accepted == (got[i].lang != "und" and got[i].posterior >= langid.LEAST)
