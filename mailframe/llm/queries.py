@@ -43,16 +43,15 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents (the source as host) and pages in one, so that both have all evidence there is."""
+    """Documents (the source as host) and pages in one, so that priors count both; only pages declare a language, since documents' labels are what is fitted on."""
     docs = _table(spark, sf_dir, "documents")
-    of_docs = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+    of_docs = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.lit(None).cast("string").alias("declared"), F.col("source").alias("host"))
     of_pages = langid.page_evidence(_table(spark, sf_dir, "pages")).select(F.lit(None).cast("long").alias("doc_id"), "page_id", "text", "declared", "host")
     return langid.identify(of_docs.unionByName(of_pages), langid.fit(docs), ["doc_id", "page_id"])
 
 
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _table(spark, sf_dir, "embeddings")
-    return topk.search(vectors, vectors.where("vec_id % 20 = 0"), k=20, scale=64)
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +63,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return secrets.report(secrets.findings(docs, secrets.scan(docs)))
+    """A ledger that one scan has begun, of English documents, is brought up to all documents by a second one; findings cover all rows."""
+    docs, ledger = _table(spark, sf_dir, "documents"), new_path(spark, "ledger")
+    secrets.update(docs.where("lang = 'en'"), ledger)
+    return secrets.report(secrets.findings(docs, secrets.update(docs, ledger)))
 
 
 def queries() -> dict[str, Query]:

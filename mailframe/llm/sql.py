@@ -13,12 +13,19 @@ f AS (SELECT *, most <= wt * (whole - before) / rest AS stopped FROM p),
 t AS (SELECT k, w, CASE WHEN stopped THEN most ELSE wt * (SELECT max(whole) - coalesce(sum(most) FILTER (stopped), 0) FROM f) / (SELECT sum(wt) FILTER (NOT stopped) FROM f) END AS target FROM f),
 g AS (SELECT CAST(pow(2, floor(log2(greatest(1, sqrt((SELECT sum(w) FROM t)) / 16)))) AS BIGINT) AS shards),
 b AS (SELECT shards, CAST(least(2048, pow(2, floor(log2(greatest(1, (SELECT min(target) FROM t WHERE target > 0) / (256 * shards)))))) AS BIGINT) AS block FROM g),
-e AS (SELECT d.*, CAST('0x' || substr(h, 1, 8) AS BIGINT) % shards AS shard FROM d, b),
-c AS (SELECT k, shard, CAST(sum(size) AS BIGINT) AS n, greatest(1, CAST(sum(size) AS BIGINT)) AS ring, CAST('0x' || substr(md5(concat_ws('|', '17', k, shard)), 1, 8) AS BIGINT) AS start FROM e GROUP BY ALL),
-q AS (SELECT c.k, shard, n, ring, start % ring AS first, CAST(least(floor(target * n / greatest(w, 1) / block + 0.5), floor(n * 2 / block)) AS BIGINT) * block AS words, w, target FROM c JOIN t USING (k), b),
-x AS (SELECT e.doc_id, e.size, q.w, q.target, q.n, q.first, words // ring AS rounds, words % ring AS rest, coalesce(sum(e.size) OVER (PARTITION BY e.k, e.shard ORDER BY e.h, e.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM e JOIN q USING (k, shard))
-SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(w AS BIGINT) AS source_size, target,
-CAST(rounds * size + greatest(0, least(a + size, first + rest) - greatest(a, first)) + greatest(0, least(a + size, first - n + rest) - greatest(a, first - n)) AS BIGINT) AS taken FROM x"""
+e AS (SELECT d.*, (CAST('0x' || substr(h, 1, 8) AS BIGINT) + row_number() OVER (PARTITION BY h, k, doc_id, size) - 1) AS n0, row_number() OVER (PARTITION BY h, k, doc_id, size) - 1 AS copy FROM d),
+e2 AS (SELECT *, n0 % shards AS shard FROM e, b),
+c AS (SELECT k, shard, CAST(ceil(sum(size) / any_value(block)) AS BIGINT) AS blocks, md5(concat_ws('|', '17', k, shard)) AS drawn FROM e2 GROUP BY ALL),
+v AS (SELECT c.*, w, target, CAST(floor(target * blocks / greatest(w, 1) * 1048576) AS BIGINT) AS votes FROM c JOIN t USING (k)),
+house AS (SELECT shard, CAST(floor(sum(votes) / 1048576 + 0.5) AS BIGINT) AS seats FROM v GROUP BY shard),
+quotient AS (SELECT k, shard, votes / (2 * s + 1) AS x, s FROM (SELECT k, shard, votes, unnest(range(CAST(ceil(votes / 1048576) + (SELECT count(*) FROM t) AS BIGINT))) AS s FROM v WHERE votes > 0)),
+won AS (SELECT k, shard, count(*) AS n FROM (SELECT q.*, seats, row_number() OVER (PARTITION BY shard ORDER BY x DESC, k, s) AS place FROM quotient q JOIN house USING (shard)) WHERE place <= seats GROUP BY ALL),
+q AS (SELECT v.k, v.shard, w, target, greatest(blocks, 1) AS ring, least(coalesce(n, 0), 2 * blocks) AS seats, CAST('0x' || substr(drawn, 1, 8) AS BIGINT) AS first,
+[2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497][CAST(CAST('0x' || substr(drawn, 9, 4) AS BIGINT) % 8 + 1 AS INT)] AS step FROM v LEFT JOIN won USING (k, shard)),
+x AS (SELECT e2.doc_id, e2.size, e2.block, q.w, q.target, ring, seats // ring AS rounds, seats % ring AS rest, step % ring AS step, first % ring AS first,
+CAST(coalesce(sum(e2.size) OVER (PARTITION BY e2.k, e2.shard ORDER BY e2.h, e2.size, e2.doc_id NULLS FIRST, e2.copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a FROM e2 JOIN q USING (k, shard)),
+y AS (SELECT *, CASE WHEN size > 0 THEN list_sum(list_transform(range(a // block, (a + size - 1) // block + 1), lambda j: CASE WHEN (j * step + first) % ring < rest THEN least(a + size, (j + 1) * block) - greatest(a, j * block) ELSE 0 END)) ELSE 0 END AS part FROM x)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(w AS BIGINT) AS source_size, target, CAST(rounds * size + part AS BIGINT) AS taken FROM y"""
 
 _U = "(CAST('0x' || substr(md5('tree|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || {name}), 1, 13) AS BIGINT) + 0.5) * pow(2, -52)"
 
@@ -52,10 +59,10 @@ g AS (SELECT DISTINCT doc_id, q, n, unnest(list_transform(range(1, len(w) - n +
 SELECT doc_id, item_id, all_of AS n_shingles, count(*) AS n_shared, count(*) / all_of AS containment FROM g JOIN i USING (n, s) JOIN size USING (r) GROUP BY doc_id, q, item_id, r, all_of HAVING count(*) >= 0.8 * all_of - 1e-9"""
 
 TOP_K = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 20"""
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON c.r <> q.r AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 20"""
 
 SUBSTRING = rf"""
 WITH w AS (SELECT doc_id, row_number() OVER () AS r, {WORDS} AS w FROM documents),

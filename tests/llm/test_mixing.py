@@ -1,8 +1,9 @@
 import heapq
+import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
-from mailframe.llm import mixing, queries
+from mailframe.llm import common, mixing, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -51,17 +52,34 @@ def test_whole_copies_come_near(spark):
     assert abs(whole - part) < 0.05 * part and max(r.whole_copies for r in rows) <= 2
 
 
-def test_highest_quotients():
-    """floor(votes / B + 1/2) seats each are those of the highest quotients, one after the other."""
-    votes, block = [1000.0, 333.3, 12.0, 0.4, 77.7], 8
-    seats = [int(v / block + 0.5) for v in votes]
-    heap, got = [(-v, i) for i, v in enumerate(votes)], [0] * len(votes)
-    heapq.heapify(heap)
-    for _ in range(sum(seats)):
-        _, i = heapq.heappop(heap)
-        got[i] += 1
-        heapq.heappush(heap, (-votes[i] / (2 * got[i] + 1), i))
-    assert got == seats
+def test_highest_quotients(spark):
+    """The seats of each shard's house are those of the highest quotients, one after the other."""
+    rng = random.Random(4)
+    rows = [(f"s{i}", shard, 10**6, int(mixing.PART * rng.choice((0, 0.01, 0.3, 0.5, 3.3, 40, 1000)) * rng.random())) for shard in range(30) for i in range(rng.randrange(1, 12))]
+    got = {(r.key, r.shard): r.seats for r in mixing.quotas(spark.createDataFrame(rows, "key string, shard long, blocks long, votes long")).collect()}
+    for shard in range(30):
+        votes = {k: v for k, s, _, v in rows if s == shard}
+        house = int(sum(votes.values()) / mixing.PART + 0.5)
+        heap, seats = [(-v, k) for k, v in votes.items()], dict.fromkeys(votes, 0)
+        heapq.heapify(heap)
+        for _ in range(house):
+            _, k = heapq.heappop(heap)
+            seats[k] += 1
+            heapq.heappush(heap, (-votes[k] / (2 * seats[k] + 1), k))
+        assert {k: got[k, shard] for k in votes} == seats and sum(seats.values()) == house
+
+
+def test_copies_are_dealt_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(common, "COPIES", 100)
+    frame = spark.range(6000).selectExpr("if(id < 3000, 7, id) AS doc_id", "if(id < 3000, 'one two three', concat('w w ', id)) AS text", "if(id % 5 = 0 AND id >= 3000, 'b', 'a') AS source")
+    rows = mixing.mix(frame).collect()
+    assert len(rows) == 6000 and sum(r.doc_id == 7 for r in rows) == 3000
+    source = {r.doc_id: r.source for r in frame.collect()}
+    taken = Counter()
+    for r in rows:
+        taken[source[r.doc_id]] += r.taken
+    for s, t in brute_targets({"a": 3000 * 3 + 2400 * 3, "b": 600 * 3}).items():
+        assert abs(taken[s] - t) <= max(2, 0.01 * t)
 
 
 def test_odd_rows(odd, none):
