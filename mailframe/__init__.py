@@ -17,11 +17,13 @@ def ship(spark: SparkSession) -> None:
     """
     here, context = Path(__file__).resolve().parent, spark.sparkContext
     paths = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if here.parent in paths or getattr(context, "_mailframe_shipped", False):
+    if here.parent in paths or getattr(context, "_mailframe_shipped", None):
         return
-    name = f"{tempfile.mkdtemp(prefix='mailframe-')}/mailframe.zip"
+    folder = tempfile.TemporaryDirectory(prefix="mailframe-")
+    name = f"{folder.name}/mailframe.zip"
     with zipfile.ZipFile(name, "w") as z:
         for f in sorted(here.rglob("*.py")):
             z.write(f, f.relative_to(here.parent))
     context.addPyFile(name)
-    context._mailframe_shipped = True
+    # the folder lasts as long as the context, which serves the file
+    context._mailframe_shipped = folder

@@ -50,9 +50,13 @@ def decode_quoted_printable(raw: Column) -> Column:
 
 def _escape(text: Column, keep: str) -> Column:
     """UTF-8 text as latin-1 characters, with =XX for each byte outside ``keep`` (a regular expression's class)."""
-    # pieces that stay and bytes that don't alternate; splitting after each byte keeps both in order
-    pieces = F.regexp_extract_all(latin(text.cast("binary")), F.lit(f"(?s)[{keep}]+|."), F.lit(0))
-    return F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(f"^[{keep}]"), x).otherwise(F.concat(F.lit("="), F.hex(F.encode(x, LATIN))))), "")
+
+    def each(t: Column) -> Column:
+        # runs that stay and runs that don't, in order
+        runs = F.regexp_extract_all(t, F.lit(f"[{keep}]+|[^{keep}]+"), F.lit(0))
+        return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(f"^[{keep}]"), x).otherwise(F.regexp_replace(F.hex(F.encode(x, LATIN)), "(..)", "=$1"))), "")
+
+    return let(latin(text.cast("binary")), lambda t: F.when(t.rlike(f"[^{keep}]"), each(t)).otherwise(t))
 
 
 def encode_quoted_printable(text: Column) -> Column:

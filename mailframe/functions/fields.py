@@ -75,7 +75,8 @@ def _fields(lines: Column) -> Column:
     """The fields of lines (a field's lines together, in latin-1) that follow each other from a message's start."""
 
     def one(x: Column, a: Column, i: Column) -> Column:
-        value = unfold(text_of(F.encode(F.regexp_extract(x, rf"(?s)^{NAME}[ \t]*:(.*)$", 1), "ISO-8859-1")))
+        # only values with other than ASCII are bytes again to be read as UTF-8
+        value = let(F.regexp_extract(x, rf"(?s)^{NAME}[ \t]*:(.*)$", 1), lambda v: unfold(F.when(v.rlike("[^\\x00-\\x7F]"), text_of(F.encode(v, "ISO-8859-1"))).otherwise(v)))
         return F.struct(i.alias("ord"), F.regexp_extract(x, rf"^({NAME})", 1).alias("name"), value.alias("value"), a.alias("a"), (a + F.length(x) + 2).alias("b"))
 
     at = running(F.transform(lines, lambda x: F.length(x) + 2))
