@@ -29,8 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's process ends."""
-    path = f"{shared_dir(spark)}/mailframe/{what}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, under the application's id; removed by ``clear`` or when the driver's process ends."""
+    path = f"{shared_dir(spark)}/mailframe/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     return path
 
@@ -39,16 +39,36 @@ def stash(df: DataFrame, what: str = "table") -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._mailframe_path = path
+    return out
+
+
+def unstash(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more: what was made of them is written too."""
+    paths = {x._mailframe_path for x in tables}
+    for at in [x for x in _written if x[1] in paths]:
+        _delete(*at)
+        _written.remove(at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all tables and files that operators of this session have written; for long-lived drivers, after results are stored elsewhere."""
+    for at in [x for x in _written if x[0] is spark]:
+        _delete(*at)
+        _written.remove(at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for at in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(*at)
         except Exception:  # noqa: BLE001  the JVM has gone already; the folder's owner clears it
             return
 

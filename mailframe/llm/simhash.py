@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import inner_join, stash
+from .common import inner_join, stash, unstash
 
 RADIUS = 3
 #: Fingerprints that the tree is fitted on; those at home in a leaf, about; side of a block; comparisons done at once.
@@ -255,7 +255,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small stars: a point and its lesser ones hang from the least of them
         lower = stash(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "lower")
         joined = inner_join(large.withColumnRenamed("b", "v"), lower, ["a"], "n").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        edges = stash(joined.where("a <> b").unionAll(lower.select("a", F.col("m").alias("b"))).distinct(), "stars")
+        last, edges = edges, stash(joined.where("a <> b").unionAll(lower.select("a", F.col("m").alias("b"))).distinct(), "stars")
+        unstash(last, least, large, lower)
         n, points = edges.agg(F.count("*"), F.count_distinct("a")).first()
         # each point has one edge, and none to a point that has one: the stars are the components
         if n == points and edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():

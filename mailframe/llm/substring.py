@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_bound, semi_join, stash
+from .common import hot_bound, semi_join, stash, unstash
 
 #: Words in a window, and in the short k-mers that anchors are taken from.
 WINDOW, SHORT = 35, 8
@@ -136,6 +136,7 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, short: int = SHORT) -
     every = stash(texts.select("k1", "k2", "t").mapInArrow(walk, schema), "paths")
     more = stash(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
     shared = stash(semi_join(every, more, ["h"], "n"), "shared")
+    unstash(every, more)
     # a path and its first place; one that occurs once is its own place
     kinds = stash(shared.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first", "edges")).alias("x")).select("h", "s", "n", "x.*"), "kinds")
     whole = semi_join(shared, kinds.where("n > 1").select("h", "s", "n"), ["h", "s"], "n").select("k1", "k2", "first", "edges")

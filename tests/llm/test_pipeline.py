@@ -8,7 +8,7 @@ from mailframe.llm.common import stash
 
 from .test_decontaminate import brute as contaminated
 from .test_mixing import WORD, brute_targets
-from .test_simhash import brute_components, brute_fingerprint
+from .test_near import brute as similar
 from .test_token_files import expected
 
 SF = "/root/testdata/sf0.001"
@@ -25,10 +25,9 @@ def test_stages_and_run(spark):
     likely = {i for i, r in own.items() if (s := model.scores(r.text)) is not None and model.classes[int(s.argmax())] == r.lang}
     assert kept.columns == columns and likely <= {r.doc_id for r in kept.collect()}
 
-    rows = [(r.doc_id, brute_fingerprint(r.text)) for r in kept.collect()]
-    of, _ = brute_components(rows)
+    want = similar([(r.doc_id, r.text) for r in kept.collect()])
     single = stash(near(spark, kept, SF))
-    assert single.columns == columns and {r.doc_id for r in single.collect()} == set(of.values())
+    assert single.columns == columns and {r.doc_id for r in single.collect()} == want
     assert all(tuple(r) == tuple(own[r.doc_id]) for r in single.collect())
 
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
