@@ -95,7 +95,8 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", sample
     share = F.lit(2.0 * sample + 64) / F.count("*")
     last = F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise((share * 2.0**64 - 2.0**63).cast("long"))
     near = seen.join(F.broadcast(seen.groupBy("label").agg(last.alias("last"))), "label").where("h <= last").select("label", "h")
-    least = near.withColumn("i", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("i") <= sample).select("label", "h")
+    # written, so that Spark knows that it is small before it moves a text
+    least = stash(near.withColumn("i", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("i") <= sample).select("label", "h"), "least")
     rows = own.join(least, ["label", "h"], "left_semi").dropDuplicates(["label", "h"]).select("label", "text")
     return Model.fit((r.label, r.text) for r in rows.toLocalIterator())
 

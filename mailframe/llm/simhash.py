@@ -244,23 +244,23 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) for each a of the edges that is not the least of its component, b being the least."""
     edges = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    if edges.isEmpty():
-        return edges
-    while True:
+    n = edges.count()
+    while n:
         # large stars: whatever is above a point hangs from the least around it; a point of very many edges is hot
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stash(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "least")
         up = edges.select(F.col("b").alias("a"), F.col("a").alias("v"))
-        large = stash(inner_join(up, least, ["a"], "n").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        large = stash(inner_join(up, least, ["a"], "n", 2 * n).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
         # small stars: a point and its lesser ones hang from the least of them
         lower = stash(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "lower")
-        joined = inner_join(large.withColumnRenamed("b", "v"), lower, ["a"], "n").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        joined = inner_join(large.withColumnRenamed("b", "v"), lower, ["a"], "n", n).select(F.col("v").alias("a"), F.col("m").alias("b"))
         last, edges = edges, stash(joined.where("a <> b").unionAll(lower.select("a", F.col("m").alias("b"))).distinct(), "stars")
         unstash(last, least, large, lower)
         n, points = edges.agg(F.count("*"), F.count_distinct("a")).first()
         # each point has one edge, and none to a point that has one: the stars are the components
         if n == points and edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
-            return edges
+            break
+    return edges
 
 
 def near_duplicates(df: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
