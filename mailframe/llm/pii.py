@@ -118,8 +118,13 @@ _RULES = re.compile(
     rf"|(?P<one>{_STRANGE})",
     re.IGNORECASE,
 )
-#: Cheap marks of a disguise, one for each rule that can fire; a text without one passes no transducer.
-_MARK = re.compile(rf"[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|(?<=[\w.%+-])\s+at\s+(?:{_HOST}[\w-]|{_REAL_HOST})|{_SAID}|(?<!\w)(?:{_WORD}){_GAP}(?:[0-9]+{_GAP})*(?:{_WORD})(?!\w)|{_STRANGE}", re.IGNORECASE)
+# Cheap marks of a disguise, one for each rule that can fire; a text without one passes no transducer.
+_BRACKETS = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]", re.IGNORECASE)
+_LOOKS = re.compile(_STRANGE, re.IGNORECASE)
+_AT_ALL = re.compile(r"\sat\s", re.IGNORECASE)
+_AT = re.compile(rf"(?<=[\w.%+-])\s+at\s+(?:{_HOST}[\w-]|{_REAL_HOST})", re.IGNORECASE)
+_DOT = re.compile(_SAID, re.IGNORECASE)
+_SPELLED_TWICE = re.compile(rf"(?<!\w)(?:{_WORD}){_GAP}(?:[0-9]+{_GAP})*(?:{_WORD})(?!\w)")
 _DIGIT_OR_DOT = re.compile(rf"(?P<spelled>{_WORD})|(?P<written>[0-9]+)|(?P<dot>{_CLOSED}|\s+dot\s+)|(?P<point>[.])", re.IGNORECASE)
 _SAID_DOT = re.compile(rf"{_CLOSED}|\s+dot\s+", re.IGNORECASE)
 # Words for mail that may stand before a name, and words that are no name after them.
@@ -127,6 +132,19 @@ _CUE = re.compile(r"\b(?:e-?mails?|mails?|mailto|contact|kontakt|correo|courriel
 _NO_NAME = frozenset("us me you him her them it here there now today back directly is are was be and or to the a".split())
 
 
+def _marked(text: str) -> bool:
+    """Whether a rule may fire in the text."""
+    if not text.isascii() and _LOOKS.search(text):
+        return True
+    if _BRACKETS.search(text) or (_AT_ALL.search(text) and _AT.search(text)):
+        return True
+    low = text.lower().replace("ſ", "s").replace("i\u0307", "i")
+    if "dot" in low and _DOT.search(low):
+        return True
+    # of three spelled digits in a run, the second stands between white space, hyphens and dots
+    return not SPELLED.keys().isdisjoint(low.replace("-", " ").replace(".", " ").split()) and bool(_SPELLED_TWICE.search(low))
+
+
 def _spelled(word: str) -> str:
     """The digit of a spelled one, with the letters that compare equal to s and i without case."""
     return SPELLED.get(word.lower().replace("ſ", "s").replace("i\u0307", "i"), "")
@@ -229,7 +247,7 @@ class _Taken:
 
 def disguised(text: str, known: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Spans of disguised personal data that overlap no known span of their kind, unless they hold it and more."""
-    if not _MARK.search(text):
+    if not _marked(text):
         return []
     t, out = Transducer(text), []
     there = {k: _Taken([(a, b) for a, b, kind in known if kind == k]) for k in KINDS}
