@@ -36,9 +36,12 @@ def decode_base64(text: Column) -> Column:
 
 def _bytes_of_escapes(text: Column) -> Column:
     """The bytes of latin-1 text in which =XX stands for a byte: hexadecimal of the parts between escapes."""
-    parts = F.split(text, "=", -1)
-    hexed = F.transform(parts, lambda x, i: F.when(i == 0, F.hex(F.encode(x, LATIN))).otherwise(F.concat(F.substring(x, 1, 2), F.hex(F.encode(F.substring(x, 3, 1 << 30), LATIN)))))
-    return F.unhex(F.array_join(hexed, ""))
+
+    def each(t: Column) -> Column:
+        hexed = F.transform(F.split(t, "=", -1), lambda x, i: F.when(i == 0, F.hex(F.encode(x, LATIN))).otherwise(F.concat(F.substring(x, 1, 2), F.hex(F.encode(F.substring(x, 3, 1 << 30), LATIN)))))
+        return F.unhex(F.array_join(hexed, ""))
+
+    return let(text, lambda t: F.when(F.instr(t, "=") > 0, each(t)).otherwise(F.encode(t, LATIN)))
 
 
 def decode_quoted_printable(raw: Column) -> Column:

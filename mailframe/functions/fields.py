@@ -65,7 +65,7 @@ def _split(text: Column) -> Column:
 
 def body(raw: Column) -> Column:
     """The bytes after the empty line."""
-    return let(latin(raw), lambda t: F.encode(F.substr(t, _split(t)["skip"] + 1), "ISO-8859-1"))
+    return let(raw, lambda r: F.substr(r, let(latin(r), lambda t: _split(t)["skip"]) + 1))
 
 
 _LINE = rf"(?s)^{NAME}[ \t]*:"
