@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, pii, secrets, sharding, simhash, sql, substring, token_files, topk
+from . import audit, decontaminate, langid, lines, mixing, periods, pii, secrets, sharding, simhash, sql, substring, token_files, topk
 from .common import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,8 +69,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.findings(docs, secrets.update(docs, ledger)))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents come in batches by id; what their runs have closed in the end is removed from all."""
+    return lines.dedup(_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.find(_table(spark, sf_dir, "documents"), rewrite=periods.planted)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     own = (op1_token_files, op2_mixing, op3_simhash, op4_sharding, op5_decontamination, op6_language_id, op7_top_k, op8_pii, op9_substring_dedup, op10_secrets)
+    own += (op11_line_dedup, op12_periodic_runs, op13_filter_audit)
     return {f.__name__: f for f in own}
 
 
@@ -83,4 +97,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_top_k": sql.TOP_K,
         "op9_substring_dedup": sql.SUBSTRING,
         "op10_secrets": sql.SECRETS,
+        "op11_line_dedup": sql.LINES,
+        "op12_periodic_runs": sql.PERIODS,
+        "op13_filter_audit": sql.AUDIT,
     }

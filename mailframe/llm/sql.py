@@ -91,3 +91,43 @@ WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FRO
 f AS ({" UNION ALL ".join(_matches(*x) for x in _KINDS)}),
 a AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + n AS BIGINT), ',' ORDER BY start, k) AS spans FROM f GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(t) AS blob FROM d LEFT JOIN a USING (r)"""
+
+LINES = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT r, unnest(range(len(l))) AS i, unnest(l) AS line FROM d),
+k AS (SELECT r, i, line, translate(trim(line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM x),
+f AS (SELECT k FROM k WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10),
+s AS (SELECT r, count(*) AS n_lines, count(f.k) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.k IS NULL), '') AS kept FROM k LEFT JOIN f USING (k) GROUP BY r)
+SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM d JOIN s USING (r)"""
+
+PERIODS = rf"""
+WITH crc(t) AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(n AS BIGINT)))),
+d AS (SELECT doc_id, row_number() OVER () AS r, {WORDS} AS w FROM documents),
+h AS (SELECT d.*, len(w) AS n, xor(list_reduce(list_transform(range(length(CAST(doc_id AS VARCHAR))), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(i + 1 AS INT), 1)) AS BIGINT)), lambda c, v: xor(c >> 8, t[1 + (xor(c, v) & 255)]), 4294967295), 4294967295) AS h FROM d, crc),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+u AS (SELECT r, i, CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END AS x FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+e AS (SELECT f.r, f.i, g.i - f.i AS q FROM u f JOIN u g ON f.r = g.r AND f.x = g.x AND g.i > f.i JOIN p ON p.r = f.r WHERE 3 * (g.i - f.i) <= n),
+s AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM e) GROUP BY r, q, g HAVING count(*) + q >= greatest(24, 3 * q)),
+m AS (SELECT r, start, length, min(q) AS period FROM s GROUP BY ALL),
+b AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM m GROUP BY r),
+top AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY r ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) = 1),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM m),
+kept AS (SELECT u.r, string_agg(x, ' ' ORDER BY u.i) AS k FROM u LEFT JOIN gone ON gone.r = u.r AND gone.i = u.i WHERE gone.r IS NULL GROUP BY u.r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(k, '')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (r) LEFT JOIN top USING (r) LEFT JOIN kept USING (r)"""
+
+AUDIT = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+said AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+x AS (SELECT d.doc_id, part, good, toxic, len(w) < 100 AS "A", 100 * len(list_distinct(w)) < 80 * len(w) AS "B", 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS "C",
+  regexp_matches(t, '[#$%&*|]') AS "D", coalesce(min(d.doc_id) OVER (PARTITION BY t) < d.doc_id, FALSE) AS "E" FROM d LEFT JOIN said USING (doc_id)),
+f(l, i) AS (VALUES ('A', 1), ('B', 2), ('C', 3), ('D', 4), ('E', 5)),
+o AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+y AS (SELECT part, good, toxic, ["A", "B", "C", "D", "E"] AS m, count(*) AS n FROM x GROUP BY ALL),
+z AS (SELECT part, good, toxic, n, filter_order, CAST(step AS INT) AS step, substr(filter_order, CAST(step AS INT), 1) AS l, m[ascii(substr(filter_order, CAST(step AS INT), 1)) - 64] AS fails,
+  list_bool_or(list_transform(range(1, step), lambda j: m[ascii(substr(filter_order, CAST(j AS INT), 1)) - 64])) IS TRUE AS earlier, len(list_filter(m, lambda v: v)) = 1 AS alone FROM y, o, range(1, 6) g(step)),
+s AS (SELECT part, filter_order, step, l, sum(CASE WHEN NOT fails AND NOT earlier THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails AND NOT earlier THEN n ELSE 0 END) AS removed, sum(CASE WHEN fails AND earlier THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN fails AND alone THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN fails AND NOT earlier AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN fails AND NOT earlier AND toxic THEN n ELSE 0 END) AS toxic_lost FROM z GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, l) AS BIGINT) AS shapley FROM s"""

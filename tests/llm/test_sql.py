@@ -9,7 +9,7 @@ def test_query_equals_sql(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark"):
+    for t in ("documents", "embeddings", "benchmark", "labels"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got = queries.queries()[name](spark, sf)
     cursor = con.execute(queries.oracle_sql()[name])
