@@ -22,6 +22,7 @@ rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import let
-from .common import stash
+from .common import left_join, stash
 
 SAMPLE, BINS, EFFECTIVE, SMOOTHING, LEAST = 1500, 1 << 16, 300, 20.0, 0.5
 UND = "und"
@@ -167,13 +168,17 @@ def gather(slim: DataFrame, model: Model) -> Fusion:
     return Fusion(rate, overall, hosts, suffixes)
 
 
-def fused(df: DataFrame, model: Model, found: Fusion, declared: Column, host: Column) -> DataFrame:
-    """df (with _ll) with columns _lang, _posterior and _accepted."""
-    k = len(model.classes)
+def with_priors(df: DataFrame, found: Fusion, host: Column) -> DataFrame:
+    """df with what the priors of its host and suffix are; the rows of a hot host stay where they are."""
     name, _, suffix = _levels(host)
-    priors = found.hosts.select(F.col("host").alias("_host"), F.col("prior").alias("_prior"))
-    above = found.suffixes.select(F.col("suffix").alias("_suffix"), F.col("prior").alias("_above"))
-    df = df.withColumns({"_host": name, "_suffix": suffix}).join(priors, "_host", "left").join(above, "_suffix", "left")
+    df = df.withColumns({"_host": name, "_suffix": suffix})
+    df = left_join(df, found.hosts.select(F.col("host").alias("_host"), F.col("prior").alias("_prior")), ["_host"])
+    return left_join(df, found.suffixes.select(F.col("suffix").alias("_suffix"), F.col("prior").alias("_above")), ["_suffix"])
+
+
+def fused(df: DataFrame, model: Model, found: Fusion, declared: Column) -> DataFrame:
+    """df (with _ll and the columns of ``with_priors``) with columns _lang, _posterior and _accepted."""
+    k = len(model.classes)
     prior = F.coalesce("_prior", "_above", F.array(*map(F.lit, found.overall)))
     primary = F.lower(F.regexp_extract(F.coalesce(declared.cast("string"), F.lit("")), r"^\s*([A-Za-z]+)", 1))
     hint = F.coalesce(*(F.when(F.col("_suffix") == s, F.lit(v)) for s, v in COUNTRY.items())) if COUNTRY else F.lit(None)
@@ -194,27 +199,77 @@ def fused(df: DataFrame, model: Model, found: Fusion, declared: Column, host: Co
 
 def identify(df: DataFrame, model: Model, keys: list[str], text_col: str = "text", declared_col: str = "declared", host_col: str = "host") -> DataFrame:
     """A row for each of df's: its keys, lang, posterior, accepted, text_lang (by the text alone)."""
-    slim = scored(df.select(*keys, F.col(text_col).cast("string").alias("_text"), F.col(declared_col).cast("string").alias("declared"), F.col(host_col).cast("string").alias("host")), model, "_text").drop("_text")
+    slim = scored(df.select(F.struct(*keys).alias("_keys"), F.col(text_col).cast("string").alias("_text"), F.col(declared_col).cast("string").alias("declared"), F.col(host_col).cast("string").alias("host")), model, "_text").drop("_text")
     slim = stash(slim, "likelihoods")
     alone = F.element_at(F.array(*map(F.lit, model.classes)), F.array_position("_ll", F.array_max("_ll")).cast("int"))
-    out = fused(slim.withColumn("_alone", F.coalesce(alone, F.lit(UND))), model, gather(slim.select("_ll", "declared", "host"), model), F.col("declared"), F.col("host"))
-    return out.select(*keys, F.col("_lang").alias("lang"), F.round("_posterior", 6).alias("posterior"), F.col("_accepted").alias("accepted"), F.col("_alone").alias("text_lang"))
+    found = gather(slim.select("_ll", "declared", "host"), model)
+    out = fused(with_priors(slim.withColumn("_alone", F.coalesce(alone, F.lit(UND))), found, F.col("host")), model, found, F.col("declared"))
+    return out.select("_keys.*", F.col("_lang").alias("lang"), F.round("_posterior", 6).alias("posterior"), F.col("_accepted").alias("accepted"), F.col("_alone").alias("text_lang"))
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", declared_col: str | None = None, host_col: str = "source") -> DataFrame:
-    """The documents whose language is known, with all their columns as they are.
+    """The documents whose language is known, with all their columns as they are, whatever their names: a row is carried as one value.
 
     A column of labels that the model was fitted on is no declaration. Texts are scored twice, once for the counts of all rows and once to decide, so that they need not be written.
     """
-    plain, declared = docs.columns, F.col(declared_col) if declared_col else F.lit(None).cast("string")
-    slim = docs.select(F.col(text_col).cast("string").alias("_text"), declared.cast("string").alias("declared"), F.col(host_col).cast("string").alias("host"))
-    found = gather(stash(scored(slim, model, "_text").drop("_text"), "likelihoods"), model)
-    return fused(scored(docs, model, text_col), model, found, declared, F.col(host_col)).where("_accepted").select(*plain)
+    declared = F.col(declared_col) if declared_col else F.lit(None).cast("string")
+    slim = docs.select(F.struct("*").alias("_row"), F.col(text_col).cast("string").alias("_text"), declared.cast("string").alias("declared"), F.col(host_col).cast("string").alias("host"))
+    found = gather(stash(scored(slim.drop("_row"), model, "_text").drop("_text"), "likelihoods"), model)
+    return fused(scored(with_priors(slim, found, F.col("host")), model, "_text"), model, found, F.col("declared")).where("_accepted").select("_row.*")
+
+
+_OPENED = re.compile(r"<(?:!--|(script|style)\b)", re.IGNORECASE | re.ASCII)
+_CLOSED = {x: re.compile(rf"</{x}\s*+>", re.IGNORECASE | re.ASCII) for x in ("script", "style")}
+_TAG = re.compile(r"<[^>]*>")
+_HTML = re.compile(r"<html\b", re.IGNORECASE | re.ASCII)
+_LANG = re.compile(r"\blang\s*+=\s*+[\"']?([A-Za-z]+)", re.IGNORECASE | re.ASCII)
+
+
+def visible(html: str) -> str:
+    """A page's text: scripts, styles, comments and tags are a space each; one that nothing closes is text.
+
+    Each search starts where the last one ended, and one that found nothing isn't tried again, so that a page takes linear time.
+    """
+    out, at, gone = [], 0, set()
+    while m := _OPENED.search(html, at):
+        kind = (m[1] or "").lower()
+        end = -1
+        if kind not in gone:
+            if kind:
+                close = _CLOSED[kind].search(html, m.end())
+                end = close.end() if close else -1
+            else:
+                close = html.find("-->", m.end())
+                end = close + 3 if close >= 0 else -1
+        if end < 0:
+            gone.add(kind)
+            out.append(html[at : m.end()])
+            at = m.end()
+        else:
+            out += [html[at : m.start()], " "]
+            at = end
+    text = "".join([*out, html[at:]])
+    last = text.rfind(">") + 1  # no tag ends after it
+    return _TAG.sub(" ", text[:last]) + text[last:]
+
+
+def declared_language(html: str) -> str | None:
+    """The lang of the first html element that has one before its end."""
+    at = 0
+    while at >= 0 and (m := _HTML.search(html, at)):
+        at = html.find(">", m.end())
+        if got := _LANG.search(html, m.end(), at if at >= 0 else len(html)):
+            return got[1]
+    return None
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
     """(page_id, text, declared, host) of raw pages: visible text, the html element's lang, the address's host."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>", " ")
-    declared = F.nullif(F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1), F.lit(""))
-    return pages.select("page_id", text.alias("text"), declared.alias("declared"), F.try_parse_url("url", F.lit("HOST")).alias("host"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            html = [x.as_py() for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(map(visible, html), pa.string()), pa.array(map(declared_language, html), pa.string())], names=["page_id", "host", "text", "declared"])
+
+    own = pages.select("page_id", F.try_parse_url("url", F.lit("HOST")).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    return own.mapInArrow(each, T.StructType([own.schema[0], own.schema[1], T.StructField("text", T.StringType()), T.StructField("declared", T.StringType())])).select("page_id", "text", "declared", "host")

@@ -128,7 +128,7 @@ _SPELLED_TWICE = re.compile(rf"(?<!\w)(?:{_WORD}){_GAP}(?:[0-9]+{_GAP})*(?:{_WOR
 _DIGIT_OR_DOT = re.compile(rf"(?P<spelled>{_WORD})|(?P<written>[0-9]+)|(?P<dot>{_CLOSED}|\s+dot\s+)|(?P<point>[.])", re.IGNORECASE)
 _SAID_DOT = re.compile(rf"{_CLOSED}|\s+dot\s+", re.IGNORECASE)
 # Words for mail that may stand before a name, and words that are no name after them.
-_CUE = re.compile(r"\b(?:e-?mails?|mails?|mailto|contact|kontakt|correo|courriel|write|reach|address)(?:\s+(?:to|is))?\s*[:<(]?\s*$", re.IGNORECASE)
+_CUES = frozenset("email emails mail mails mailto contact kontakt correo courriel write reach address".split())
 _NO_NAME = frozenset("us me you him her them it here there now today back directly is are was be and or to the a".split())
 
 
@@ -158,7 +158,29 @@ def _named(text: str, end: int) -> bool:
     name = text[a:end]
     if not name.isalpha():
         return any(c.isalpha() for c in name) and name[-1] not in ".-"
-    return name.lower() not in _NO_NAME and bool(_CUE.search(text, max(0, a - 40), a))
+    return name.lower() not in _NO_NAME and _cued(text, a)
+
+
+def _cued(text: str, end: int) -> bool:
+    """Whether a word for mail stands before what starts there, with "to" or "is" and one mark between or not, and any white space."""
+
+    def blank(at: int) -> int:
+        while at > 0 and text[at - 1].isspace():
+            at -= 1
+        return at
+
+    def word(at: int) -> int:
+        while at > 0 and (text[at - 1].isalnum() or text[at - 1] == "_"):
+            at -= 1
+        return at
+
+    at = blank(end)
+    if at > 0 and text[at - 1] in ":<(":
+        at = blank(at - 1)
+    start = word(at)
+    if text[start:at].lower() in ("to", "is") and (before := blank(start)) < start:
+        start, at = word(before), before
+    return text[start:at].lower().replace("\u017f", "s") in _CUES
 
 
 class Transducer:

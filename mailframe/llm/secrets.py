@@ -2,8 +2,8 @@
 
 A version of a file is a row; its content's SHA-256 is the address of its blob. The ledger is a Parquet table of
 (blob, rules, found) under a path of its own: which blobs a set of rules has seen and the spans it found there. An update reads
-the addresses of all versions, leaves out the pairs of blob and rules that the ledger has, scans each remaining blob once however
-many versions or paths hold it, and appends the pairs to the ledger, those without findings too. The findings are then joined
+the addresses of all versions, leaves out the pairs of blob and rules that the ledger has before a text moves, scans each remaining blob once
+however many versions or paths hold it, and appends the pairs to the ledger, those without findings too. The findings are then joined
 back to all versions by address. A new version of the rules has a new name and so scans every blob once more.
 
 The ledger outlives sessions. A row is true on its own, so an update that ends halfway leaves a ledger that is right, and the
@@ -29,6 +29,8 @@ from ..functions import let, running
 from .common import left_join, stash
 
 LEDGER = "blob string, rules string, found array<struct<start:int,kind:int,end:int>>"
+#: Addresses that are broadcast, at most: 64 bytes each.
+SENT = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -76,30 +78,41 @@ def address(text: Column) -> Column:
     return F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256)
 
 
-def _scanned(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], version: str, text_col: str) -> DataFrame:
-    """The rows that the ledger lacks."""
+def _scanned(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], version: str, text_col: str) -> DataFrame | None:
+    """The rows that the ledger lacks, or None if there are none. Addresses meet the ledger before a text moves."""
     text = F.col(text_col).cast("string")
-    blobs = docs.select(address(text).alias("blob"), F.coalesce(text, F.lit("")).alias("t")).dropDuplicates(["blob"])
+    blobs = docs.select(address(text).alias("blob"), F.coalesce(text, F.lit("")).alias("t"))
     if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rules") == version).select("blob"), "blob", "left_anti")
+        known = ledger.where(F.col("rules") == version).select("blob")
+        unseen = stash(blobs.select("blob").distinct().join(known, "blob", "left_anti"), "unseen")
+        n = unseen.count()
+        if not n:
+            return None
+        # few are sent to where the texts are; of many, the copies of a text meet first
+        blobs = blobs.join(F.broadcast(unseen), "blob", "left_semi").dropDuplicates(["blob"]) if n <= SENT else blobs.dropDuplicates(["blob"]).join(unseen, "blob", "left_semi")
+    else:
+        blobs = blobs.dropDuplicates(["blob"])
     return blobs.select("blob", F.lit(version).alias("rules"), spans(F.col("t"), rules).alias("found"))
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = VERSION, text_col: str = "text") -> DataFrame:
     """The rows that a ledger lacks for docs, written to the shared folder for as long as the driver lives."""
-    return stash(_scanned(docs, ledger, rules, version, text_col), "ledger")
+    found = _scanned(docs, ledger, rules, version, text_col)
+    return docs.sparkSession.createDataFrame([], LEDGER) if found is None else stash(found, "ledger")
 
 
 def open_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger at a path; an empty one is made where there is none."""
-    spark.createDataFrame([], LEDGER).write.mode("ignore").parquet(path)
+    """The ledger at a path, a folder for each version of the rules; an empty one is made where there is none."""
+    spark.createDataFrame([], LEDGER).write.partitionBy("rules").mode("ignore").parquet(path)
     return spark.read.schema(LEDGER).parquet(path)
 
 
 def update(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, version: str = VERSION, text_col: str = "text") -> DataFrame:
     """The ledger at a durable path after the blobs of docs that these rules haven't seen were scanned and appended to it."""
     spark = docs.sparkSession
-    _scanned(docs, open_ledger(spark, path), rules, version, text_col).write.mode("append").parquet(path)
+    found = _scanned(docs, open_ledger(spark, path), rules, version, text_col)
+    if found is not None:
+        found.write.partitionBy("rules").mode("append").parquet(path)
     return spark.read.schema(LEDGER).parquet(path)
 
 

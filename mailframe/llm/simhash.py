@@ -277,11 +277,11 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS, id_col: str = "doc_id",
 
 def first_of_each(df: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One whole row of df for each component: the one with the least id (null last), then the least hash of the row."""
-    plain, own = df.columns, ["_simhash_own", "_simhash_own2"]
-    marked = df.withColumns({own[0]: F.xxhash64(*plain), own[1]: F.xxhash64(F.lit(1), *plain)})
-    slim = stash(fingerprints(marked.select(F.col(id_col).cast("long").alias("id"), *own, F.col(text_col).alias("_t")), "_t", "fp").drop("_t"), "fingerprints")
+    own, row = ["own1", "own2"], F.struct("*")
+    marked = df.select(row.alias("row"), F.xxhash64(row).alias(own[0]), F.xxhash64(F.lit(1), row).alias(own[1]), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t"))
+    slim = stash(fingerprints(marked.select("id", *own, "_t"), "_t", "fp").drop("_t"), "fingerprints")
     known = stash(slim.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", *own)).alias("best")), "distinct")
     roots = components(links(known.select("fp"), radius))
     best = known.join(roots.withColumnRenamed("a", "fp"), "fp", "left").groupBy(F.coalesce("b", "fp").alias("root")).agg(F.min("best").alias("best"))
     # rows that are the same meet before they move
-    return marked.dropDuplicates(own).join(best.select(*(F.col(f"best.{x}").alias(x) for x in own)), own, "left_semi").select(*plain)
+    return marked.dropDuplicates(own).join(best.select(*(F.col(f"best.{x}").alias(x) for x in own)), own, "left_semi").select("row.*")

@@ -1,9 +1,10 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
-from mailframe.llm import langid, queries
+from mailframe.llm import langid, near, queries, simhash
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
@@ -55,6 +56,30 @@ def test_page_evidence(spark):
     assert (got[2].declared, got[2].host, got[3].declared) == (None, None, "de")
 
 
+def test_pages_in_linear_time():
+    """Openings that nothing closes, closed ones after very many, a language after very many elements."""
+    n = 1 << 20
+    for piece in ("<", "<!--", "<html ", "<script", "<style>", "</script ", "<script></script "):
+        began = time.perf_counter()
+        for page in (piece * (n // len(piece)), piece * (n // len(piece)) + ">"):
+            langid.visible(page), langid.declared_language(page)
+        assert time.perf_counter() - began < 4, piece
+    assert langid.declared_language("<html " * 5 + "lang = 'es'>") == "es" and langid.declared_language("<html a><html lang=fr>") == "fr"
+    assert langid.visible("a<script>b</SCRIPT >c<!-- d -->e<style>f").split() == ["a", "c", "e", "f"]
+    assert langid.visible("a<!-- b <script>c</script> d").split() == ["a<!--", "b", "d"]
+    assert langid.visible("a < b") == "a < b"
+
+
+def test_columns_of_any_name_stay(spark):
+    names = "key _near_own _near_own2 _ll _host _prior _above _suffix _row row own1 own2 id t h fp _t _text host declared _lang _keys a b".split()
+    docs = spark.createDataFrame([(i, "the quick brown fox jumps over the lazy dog again %d" % (i // 2), "en", "s", *[f"{n}{i}" for n in names]) for i in range(6)], ["doc_id", "text", "lang", "source", *names])
+    want = {tuple(r) for r in docs.collect()}
+    kept = langid.accepted(docs, langid.fit(docs))
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == want
+    for single in (near.first_of_each(docs), simhash.first_of_each(docs)):
+        assert single.columns == docs.columns and {tuple(r) for r in single.collect()} <= want and single.count() in (1, 2, 3)
+
+
 def test_copies_and_rare_labels_keep_their_share(spark):
     """A thousandfold copy of few texts leaves all of them to fit on; a label of two rows is a class."""
     many = spark.range(40000).selectExpr("'aa' AS lang", "concat('text number ', id % 20) AS text")

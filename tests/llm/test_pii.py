@@ -105,7 +105,7 @@ def slow_added(text):
         before = text[i - 1] if i else " "
         after_name = bool(re.match(r"[\w.%+-]", before))
         name = re.search(r"[A-Za-z0-9._%+-]*$", text[:i])[0]
-        cued = name.lower() not in pii._NO_NAME and bool(pii._CUE.search(text[max(0, i - len(name) - 40) : i - len(name)]))
+        cued = name.lower() not in pii._NO_NAME and bool(_CUE.search(text[: i - len(name)]))
         named = cued if name.isalpha() else (any(c.isalpha() for c in name) and name[-1] not in ".-")
         if m := opened.match(text, i) or (after_name and said_at.match(text, i)) or (after_name and named and real_at.match(text, i)):
             cells.append(("@", i, m.end(), True))
@@ -158,6 +158,16 @@ def test_added_spans_equal_the_slow_way():
     assert some > 1000
 
 
+_CUE = re.compile(r"\b(?:e-?mails?|mails?|mailto|contact|kontakt|correo|courriel|write|reach|address)(?:\s+(?:to|is))?\s*[:<(]?\s*$", re.IGNORECASE)
+
+
+def test_a_cue_before_any_white_space():
+    for gap in (" ", " " * 60, "\n" * 5000, "  to \t :" + " " * 300):
+        text = f"mail{gap}user at example.com"
+        assert [text[a:b] for a, b, _ in pii.spans(text)[1]] == ["user at example.com"]
+    assert pii.spans("gmail user at example.com")[1] == []
+
+
 def test_plain_at_needs_a_name():
     for text, want in (("mail jane at example.com", "jane at example.com"), ("j.doe at example.com", "j.doe at example.com"), ("E-Mail: bob7 at mail.example.com now", "bob7 at mail.example.com")):
         assert [(text[a:b], k) for a, b, k in pii.spans(text)[1]] == [(want, "email")], text

@@ -3,7 +3,7 @@ import random
 import re
 
 from mailframe.llm import common, queries, secrets
-from mailframe.llm.secrets import Rule
+from mailframe.llm.secrets import RULES, Rule
 
 KINDS = ("assign", "access", "hex")
 
@@ -75,6 +75,21 @@ def test_a_ledger_outlives_its_session(spark, tmp_path):
     assert sorted((r.doc_id, r.spans) for r in rows) == [(1, ""), (1, ""), (2, ""), (3, "word:10:16")]
 
 
+def test_an_update_without_new_blobs_moves_no_text(spark, monkeypatch):
+    docs = [(i, f"token=abcdefgh{i} {'x' * 50}") for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    first = secrets.scan(frame)
+    assert secrets._scanned(frame, first, RULES, secrets.VERSION, "text") is None
+    # some are new: only their texts move, by broadcast addresses or by a join
+    more = frame.union(spark.createDataFrame([(100 + i, "secret: 1234567890") for i in range(30)], "doc_id long, text string"))
+    for sent in (secrets.SENT, 0):
+        monkeypatch.setattr(secrets, "SENT", sent)
+        assert secrets.scan(more, first).count() == 1
+    monkeypatch.undo()
+    plan = secrets._scanned(more, first, RULES, secrets.VERSION, "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("BroadcastHashJoin") > plan.index("Exchange")  # above the scan, below what shuffles
+
+
 def test_very_many_matches_and_copies(spark, monkeypatch):
     """100,000 secrets in one text take seconds; versions of one blob that are hot keep their findings, or none."""
     monkeypatch.setattr(common, "HOT", 3)
