@@ -44,11 +44,21 @@ def _bytes_of_escapes(text: Column) -> Column:
     return let(text, lambda t: F.when(F.instr(t, "=") > 0, each(t)).otherwise(F.encode(t, LATIN)))
 
 
+def _decode_quoted_printable(text: Column) -> Column:
+    """A scan of lines: each loses its white space at the end, one that ends with = is joined to the next. Linear in any text."""
+
+    def joined(lines: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            return F.when(x.endswith("="), F.substr(x, F.lit(1), F.length(x) - 1)).when(i < F.size(lines) - 1, F.concat(x, F.lit("\n"))).otherwise(x)
+
+        return F.array_join(F.transform(F.transform(lines, lambda x: F.rtrim(x, F.lit(" \t"))), one), "")
+
+    return _bytes_of_escapes(F.regexp_replace(let(F.split(text, "\r\n", -1), joined), r"=(?![0-9A-Fa-f]{2})", "=EF=BF=BD"))
+
+
 def decode_quoted_printable(raw: Column) -> Column:
     """Soft breaks joined, white space at line ends dropped, CRLF to LF; a malformed escape becomes U+FFFD."""
-    text = F.regexp_replace(latin(raw), r"[ \t]+(?=\r\n|$(?![\r\n]))", "")
-    text = F.regexp_replace(F.regexp_replace(text, r"=(\r\n|$(?![\r\n]))", ""), r"\r\n", "\n")
-    return _bytes_of_escapes(F.regexp_replace(text, r"=(?![0-9A-Fa-f]{2})", "=EF=BF=BD"))
+    return _decode_quoted_printable(latin(raw))
 
 
 def _escape(text: Column, keep: str) -> Column:
@@ -73,7 +83,15 @@ def encode_quoted_printable(text: Column) -> Column:
 
 def encode_q(text: Column) -> Column:
     """The inline "Q" form of text: letters and digits stay, a space is _, all else =XX."""
-    return F.replace(_escape(text, "A-Za-z0-9 "), F.lit(" "), F.lit("_"))
+
+    def each(t: Column) -> Column:
+        # an address's form differs in four characters that it leaves, and in how a space and an escape are written
+        out = F.url_encode(t)
+        for a, b in (("_", "%5F"), (".", "%2E"), ("*", "%2A"), ("-", "%2D"), ("+", "_"), ("%", "=")):
+            out = F.replace(out, F.lit(a), F.lit(b))
+        return F.when(F.is_valid_utf8(t), out).otherwise(F.replace(_escape(t, "A-Za-z0-9 "), F.lit(" "), F.lit("_")))
+
+    return let(text.cast("string"), each)
 
 
 def decode_q(text: Column) -> Column:
@@ -82,6 +100,12 @@ def decode_q(text: Column) -> Column:
     return _bytes_of_escapes(spaced)
 
 
+def decode_text(text: Column, encoding: Column) -> Column:
+    """The bytes of a body, given as latin-1 text, under its transfer encoding; null for broken base64."""
+    kind = F.lower(encoding)
+    return let(text, lambda t: F.when(kind == "base64", decode_base64(t)).when(kind == "quoted-printable", _decode_quoted_printable(t)).otherwise(F.encode(t, LATIN)))
+
+
 def decode_body(raw: Column, encoding: Column) -> Column:
     """The bytes of a body under its transfer encoding; null for broken base64."""
     kind = F.lower(encoding)

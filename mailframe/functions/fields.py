@@ -71,8 +71,8 @@ def body(raw: Column) -> Column:
 _LINE = rf"(?s)^{NAME}[ \t]*:"
 
 
-def _fields(lines: Column) -> Column:
-    """The fields of lines (a field's lines together, in latin-1) that follow each other from a message's start."""
+def _fields(lines: Column, start: Column | int = 0) -> Column:
+    """The fields of lines (a field's lines together, in latin-1) that follow each other from a place in a message."""
 
     def one(x: Column, a: Column, i: Column) -> Column:
         # only values with other than ASCII are bytes again to be read as UTF-8
@@ -80,7 +80,7 @@ def _fields(lines: Column) -> Column:
         return F.struct(i.alias("ord"), F.regexp_extract(x, rf"^({NAME})", 1).alias("name"), value.alias("value"), a.alias("a"), (a + F.length(x) + 2).alias("b"))
 
     at = running(F.transform(lines, lambda x: F.length(x) + 2))
-    return F.transform(F.arrays_zip(lines.alias("x"), at.alias("at")), lambda y, i: one(y["x"], y["at"].cast("int"), i))
+    return F.transform(F.arrays_zip(lines.alias("x"), at.alias("at")), lambda y, i: one(y["x"], (y["at"] + start).cast("int"), i))
 
 
 def _lines(head: Column) -> Column:

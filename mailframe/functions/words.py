@@ -11,7 +11,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .. import grammar
-from . import codec, fields
+from . import codec, fields, let
 
 DOMAIN = "struct<tag:string,atoms:array<string>,literal:string>"
 MAILBOX = f"struct<name:string,local:array<struct<tag:string,value:string>>,domain:{DOMAIN},route:array<string>,address:string>"
@@ -94,10 +94,14 @@ def encoded_word(text: Column) -> Column:
 
 
 def encoded_word_native(text: Column) -> Column:
-    """The same for the charsets that Spark knows, without Python; data is null for others."""
-    charset, encoding, inner = (F.regexp_extract(text, "^" + _WORD, i) for i in (1, 2, 3))
-    raw = F.when(F.upper(encoding) == "B", codec.decode_base64(inner)).otherwise(codec.decode_q(inner))
-    return F.when(text.rlike("^" + _WORD), F.struct(F.upper(charset).alias("charset"), F.upper(encoding).alias("encoding"), codec.decode_charset(raw, charset).alias("data")))
+    """The same for the charsets that Spark knows, without Python; data is null for others. ``text`` is written twice: bind it with ``let`` if it is dear."""
+
+    def one(t: Column) -> Column:
+        charset, encoding, inner = (F.regexp_extract(t, "^" + _WORD, i) for i in (1, 2, 3))
+        raw = let(inner, lambda x: F.when(F.upper(encoding) == "B", codec.decode_base64(x)).otherwise(codec.decode_q(x)))
+        return F.struct(F.upper(charset).alias("charset"), F.upper(encoding).alias("encoding"), let(raw, lambda r: codec.decode_charset(r, charset)).alias("data"))
+
+    return F.when(text.rlike("^" + _WORD), let(text, one))
 
 
 def decode_words(text: Column) -> Column:

@@ -367,9 +367,8 @@ def content_type(value: str) -> tuple[str, str, list[tuple[str, str]]] | None:
 def decode_quoted_printable(raw: bytes) -> bytes:
     """Soft breaks joined, white space at line ends dropped, CRLF to LF; a malformed escape becomes U+FFFD."""
     lines = [line.rstrip(b" \t") for line in raw.split(b"\r\n")]
-    joined = b"\n".join(lines).replace(b"=\n", b"")
-    if joined.endswith(b"="):
-        joined = joined[:-1]
+    ends = [b"\n"] * (len(lines) - 1) + [b""]
+    joined = b"".join(x[:-1] if x.endswith(b"=") else x + end for x, end in zip(lines, ends, strict=True))
     return re.sub(rb"=([0-9A-Fa-f]{2})?", lambda m: bytes([int(m[1], 16)]) if m[1] else "\ufffd".encode(), joined)
 
 
@@ -387,8 +386,8 @@ def decode_body(raw: bytes, encoding: str) -> bytes:
 # -- messages ----------------------------------------------------------------------------------------------------
 
 _FIELD = re.compile(rb"([\x21-\x39\x3B-\x7E]+)[ \t]*:((?:[^\r]|\r(?!\n)|\r\n[ \t])*)\r\n")
-#: Parts within parts that are followed; more is malformed.
-DEEPEST = 64
+#: Parts within parts that this reader follows, since it calls itself; ``functions.tree`` follows any.
+DEEPEST = 200
 
 
 @dataclass

@@ -19,7 +19,8 @@ def with_header(mails: DataFrame, raw_col: str = "raw") -> DataFrame:
 
 def field_rows(mails: DataFrame, raw_col: str = "raw", keep: tuple[str, ...] = ("mail_id",), schema: dict[str, str] | None = None) -> DataFrame:
     """(keep, ord, name, name_lc, kind, value, a, b): a row a field, in order."""
-    rows = mails.select(*keep, F.inline(fields.header(F.col(raw_col))))
+    # the outer form, since Spark infers a filter for the other one and so splits a header three times
+    rows = mails.select(*keep, F.explode_outer(fields.header(F.col(raw_col))).alias("_f")).where("_f IS NOT NULL").select(*keep, "_f.*")
     return rows.withColumns({"name_lc": F.lower("name"), "kind": fields.kind(F.col("name"), schema)})
 
 

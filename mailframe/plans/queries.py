@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import address, codec, ctype, dates, fields, registry, text, words
+from ..functions import address, codec, ctype, dates, fields, let, registry, text, words
 from ..operators import generate, headers, mime
 from . import synth
 from .synth import table
@@ -597,7 +597,9 @@ def id3_make(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, text AS b, substr(text, 1, 60) AS q, 'UTF-8' AS charset FROM documents")
 def ew1_encoded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded words of whole texts and back, without Python (EW1 to EW7, EW9); q shows the start of a text that Q gave back whole."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", *(words.encoded_word_native(words.make_word(F.col("text"), x.upper())).alias(x) for x in "bq"))
+    # rows of one word: a generator between them, since Spark would write a word out for each use of its fields
+    read = lambda x: F.explode_outer(F.array(let(words.make_word(F.col("text"), x.upper()), words.encoded_word_native)))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", read("b").alias("b")).select("*", read("q").alias("q"))
     q = F.when(F.col("q.data").eqNullSafe(F.col("text")), F.substring("q.data", 1, 60)).otherwise("Q lost text")
     return d.select("doc_id", F.col("b.data").alias("b"), q.alias("q"), "b.charset")
 
