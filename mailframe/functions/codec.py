@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import let
+from . import charsets, let
 
 LATIN = "ISO-8859-1"
 
@@ -123,11 +123,5 @@ def encode_body(text: Column, encoding: Column) -> Column:
 
 
 def decode_charset(raw: Column, charset: Column) -> Column:
-    """Bytes in one of the charsets that Spark knows; null for others (``mailframe.functions.words`` knows more)."""
-    name = F.lower(charset)
-    return (
-        F.when(name.isin("utf-8", "utf8"), F.when(F.is_valid_utf8(raw.cast("string")), F.decode(raw, "UTF-8")))
-        .when(name.isin("us-ascii", "ascii"), F.when(~latin(raw).rlike(r"[^\x00-\x7F]"), latin(raw)))
-        .when(name.isin("iso-8859-1", "latin1", "iso_8859-1"), latin(raw))
-        .when(name.isin("utf-16be", "utf-16le", "utf-16"), F.when(name == "utf-16le", F.decode(raw, "UTF-16LE")).when(name == "utf-16be", F.decode(raw, "UTF-16BE")).otherwise(F.decode(raw, "UTF-16")))
-    )
+    """Bytes in one of the charsets that Spark or a table knows (``charsets``); null for others (``mailframe.functions.words`` knows more)."""
+    return charsets.decode(raw, charset)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import let, running
+from . import let, running, scanned
 from .codec import latin, text_of
 
 FIELD = "struct<ord:int,name:string,value:string,a:int,b:int>"
@@ -34,26 +34,26 @@ def unfold(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n[ \t]+", " ")
 
 
-#: A quoted string, kept, or an innermost comment; possessive, so that long ones need no stack.
-_COMMENT = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|\([^()\\]*+(?:\\.[^()\\]*+)*+\)'
-#: Comments within comments that are followed.
-DEEPEST = 64
+#: What matters between comments: quoted pairs, quotes, parentheses, and runs of anything else.
+_PIECE = r'(?s)\\.|["()\\]|[^"()\\]++'
 
 
-def strip_comments(text: Column, depth: int = DEEPEST) -> Column:
-    """Text without comments nested up to ``depth``; quoted strings keep their parentheses.
+def strip_comments(text: Column) -> Column:
+    """Text without comments of any depth; parentheses in quoted strings stay. An open comment runs to the end.
 
-    A pass takes the innermost comments; passes end with the first that changes nothing. Nesting that is deeper isn't
-    regular; ``mailframe.grammar.strip_comments`` takes any.
+    The state before a piece is how many comments are open there, or -1 in a quoted string.
     """
 
-    def passes(t: Column) -> Column:
-        most = F.least(F.length(t) - F.length(F.replace(t, F.lit("("), F.lit(""))), F.lit(depth))
-        step = lambda s, _: F.when(s["more"], let(F.regexp_replace(s["t"], _COMMENT, "$1"), lambda new: F.struct(new.alias("t"), (new != s["t"]).alias("more")))).otherwise(s)
-        done = F.aggregate(F.sequence(F.lit(1), most), F.struct(t.alias("t"), F.lit(True).alias("more")), step, lambda s: s["t"])
-        return F.when(F.instr(t, "(") > 0, done).otherwise(t)
+    def step(s: Column, x: Column) -> Column:
+        opened = F.when(x == "(", s + 1).when((x == ")") & (s > 0), s - 1).otherwise(s)
+        return F.when(s == -1, F.when(x == '"', 0).otherwise(-1)).when((s == 0) & (x == '"'), -1).otherwise(opened)
 
-    return let(text, passes)
+    def kept(pieces: Column) -> Column:
+        states = scanned(pieces, 0, step)
+        stays = F.filter(F.arrays_zip(pieces.alias("x"), states.alias("s")), lambda y: (y["s"] < 0) | ((y["s"] == 0) & (y["x"] != "(")))
+        return F.array_join(F.transform(stays, lambda y: y["x"]), "")
+
+    return let(text, lambda t: F.when(F.instr(t, "(") > 0, let(F.regexp_extract_all(t, F.lit(_PIECE), F.lit(0)), kept)).otherwise(t))
 
 
 def _split(text: Column) -> Column:

@@ -1,7 +1,8 @@
-"""What needs a grammar, as Arrow functions over columns, and encoded words, with built-in expressions where they can be.
+"""Addresses, ids and encoded words of header values, with built-in expressions (``lists``, ``charsets``).
 
-Comments nest, addresses have groups, routes and quoted words, and charsets are many: those go through ``mailframe.grammar``
-in batches. Each function has one result column, a struct or an array, so that a row is parsed once.
+Only encoded words in charsets that neither Spark nor a table knows, such as those of many bytes, need Python: ``encoded_word``,
+``decode_words`` and, if asked for, ``addresses`` send those values alone through ``mailframe.grammar`` in Arrow batches. The functions
+whose names end in ``_native`` never do. SQL knows the functions by the names of ``register``, as Arrow functions.
 """
 
 from __future__ import annotations
@@ -11,12 +12,9 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .. import grammar
-from . import codec, fields, let
+from . import charsets, codec, fields, let, lists
+from .lists import ADDRESS, MAILBOX
 
-DOMAIN = "struct<tag:string,atoms:array<string>,literal:string>"
-MAILBOX = f"struct<name:string,local:array<struct<tag:string,value:string>>,domain:{DOMAIN},route:array<string>,address:string>"
-ADDRESS = f"struct<tag:string,group:string,mailboxes:array<{MAILBOX}>>"
-MESSAGE_ID = "struct<local:array<string>,domain:array<string>,text:string>"
 WORD = "struct<charset:string,encoding:string,data:string,error:string>"
 _WORD = r"=\?([^?\s()<>@,;:\"/\[\].=]+)\?([QqBb])\?([^? ]+)\?="
 
@@ -46,40 +44,43 @@ def _fields(kind: str) -> list[str]:
     return [*out, inner[start:]]
 
 
-def addresses(value: Column) -> Column:
-    """``array<address>`` of an address list, or null."""
-    return _each(grammar.addresses, f"array<{ADDRESS}>")(value)
+def _rare(text: Column) -> Column:
+    """Whether a text has an encoded word in a charset without a table."""
+    return F.exists(F.regexp_extract_all(text, F.lit(_WORD), F.lit(1)), lambda c: ~charsets.known(c))
+
+
+def addresses(value: Column, rare: bool = False) -> Column:
+    """``array<address>`` of an address list, or null. rare: values with names in charsets without a table go through Python."""
+    out = lists.addresses(value, decode_words_native)
+    return F.when(_rare(value), _each(grammar.addresses, f"array<{ADDRESS}>")(F.when(_rare(value), value))).otherwise(out) if rare else out
 
 
 def mailboxes(value: Column) -> Column:
-    return _each(grammar.mailboxes, f"array<{MAILBOX}>")(value)
+    return lists.mailboxes(value, decode_words_native)
 
 
 def mailbox(value: Column, whole: bool = False) -> Column:
     """``array<mailbox>`` of none or one; whole: nothing may follow the mailbox."""
-    one = lambda v: [m] if (m := grammar.mailbox(v, whole)) else []
-    return _each(one, f"array<{MAILBOX}>")(value)
+    return lists.mailbox(value, decode_words_native, whole)
 
 
 def first_message_id(values: Column) -> Column:
-    """The first message id of an array of values that parses, or null. The array is to be a column of its own (``headers.first_message_id``)."""
-    one = lambda vs: next(([m] for v in vs if (m := grammar.message_id(v))), [])
-    return F.try_element_at(_each(one, f"array<{MESSAGE_ID}>")(values), F.lit(1))
+    """The first message id of an array of values that parses, or null."""
+    return F.try_element_at(F.filter(F.transform(values, lists.message_id), lambda m: m.isNotNull()), F.lit(1))
 
 
 def message_id(value: Column) -> Column:
-    one = lambda v: [m] if (m := grammar.message_id(v)) else []
-    return F.try_element_at(_each(one, f"array<{MESSAGE_ID}>")(value), F.lit(1))
+    return lists.message_id(value)
 
 
 def render_addresses(value: Column) -> Column:
     """An address list read and written again: its canonical text."""
-    return _each(lambda v: ", ".join(map(grammar.render_address, grammar.addresses(v) or [])), "string")(value)
+    return let(addresses(value), lambda found: F.array_join(F.transform(F.coalesce(found, F.array().cast(f"array<{ADDRESS}>")), lists.render), ", "))
 
 
 def strip_comments(value: Column) -> Column:
-    """Text without comments of any depth; only texts with a parenthesis go to Python."""
-    return F.coalesce(_each(grammar.strip_comments, "string")(F.when(F.instr(value, "(") > 0, value)), value)
+    """Text without comments of any depth."""
+    return fields.strip_comments(value)
 
 
 def fold(line: Column) -> Column:
@@ -90,23 +91,43 @@ def fold(line: Column) -> Column:
 def encoded_word(text: Column) -> Column:
     """The encoded word at the start of a text, in any charset that Python knows, as a struct with nulls if there is none."""
     one = lambda v: [m] if (m := grammar.encoded_word(v)) else []
-    return F.try_element_at(_each(one, f"array<{WORD}>")(text), F.lit(1))
+    rare = ~charsets.known(F.regexp_extract(text, "^" + _WORD, 1))
+    return F.when(text.rlike("^" + _WORD) & rare, F.try_element_at(_each(one, f"array<{WORD}>")(F.when(rare, text)), F.lit(1))).otherwise(encoded_word_native(text))
 
 
 def encoded_word_native(text: Column) -> Column:
-    """The same for the charsets that Spark knows, without Python; data is null for others. ``text`` is written twice: bind it with ``let`` if it is dear."""
+    """The same for the charsets that Spark or a table knows, without Python; others are unknown. ``text`` is written twice: bind it with ``let`` if it is dear."""
 
     def one(t: Column) -> Column:
         charset, encoding, inner = (F.regexp_extract(t, "^" + _WORD, i) for i in (1, 2, 3))
         raw = let(inner, lambda x: F.when(F.upper(encoding) == "B", codec.decode_base64(x)).otherwise(codec.decode_q(x)))
-        return F.struct(F.upper(charset).alias("charset"), F.upper(encoding).alias("encoding"), let(raw, lambda r: codec.decode_charset(r, charset)).alias("data"))
+        name = F.upper(charset)
+
+        def read(r: Column) -> Column:
+            return F.struct(r.isNull().alias("broken"), charsets.decode(r, charset).alias("data"))
+
+        def told(x: Column) -> Column:
+            error = F.when(x["broken"], "not base64").when(~charsets.known(charset), F.concat(F.lit(grammar.UNKNOWN + " "), name)).when(x["data"].isNull(), F.concat(F.lit("not "), name))
+            return F.struct(name.alias("charset"), F.upper(encoding).alias("encoding"), x["data"].alias("data"), error.alias("error"))
+
+        return let(let(raw, read), told)
 
     return F.when(text.rlike("^" + _WORD), let(text, one))
 
 
+def decode_words_native(text: Column) -> Column:
+    """Text with its encoded words decoded in place, in the charsets that Spark or a table knows; all else stays, and so does the space between two."""
+
+    def joined(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(_WORD), F.lit(0)), lambda w: F.coalesce(encoded_word_native(w)["data"], w))
+        return F.array_join(F.transform(F.arrays_zip(F.split(t, _WORD, -1).alias("a"), found.alias("b")), lambda y: F.concat(y["a"], F.coalesce(y["b"], F.lit("")))), "")
+
+    return let(text, lambda t: F.when(t.contains("=?") & t.rlike(_WORD), joined(t)).otherwise(t))
+
+
 def decode_words(text: Column) -> Column:
-    """Text with its encoded words decoded; invalid ones stay. Texts without one pass as they are."""
-    return F.coalesce(_each(grammar.decode_words, "string")(F.when(text.rlike(_WORD), text)), text)
+    """The same in any charset that Python knows."""
+    return F.coalesce(_each(grammar.decode_words, "string")(F.when(text.rlike(_WORD) & _rare(text), text)), decode_words_native(text))
 
 
 def make_word(text: Column, encoding: str = "B", charset: str = "UTF-8") -> Column:

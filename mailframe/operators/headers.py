@@ -1,7 +1,6 @@
 """Header tables: one row a field, with typed columns beside the text, without touching bodies.
 
-The splitting is built-in expressions, so that a filter on names or a choice of columns prunes the rest; only the
-columns of addresses and message ids start Python, and only if they are selected.
+All of it is built-in expressions, so that a filter on names or a choice of columns prunes the rest.
 """
 
 from __future__ import annotations
@@ -27,9 +26,7 @@ def field_rows(mails: DataFrame, raw_col: str = "raw", keep: tuple[str, ...] = (
 def first_message_id(mails: DataFrame, raw_col: str = "raw", keep: tuple[str, ...] = ("mail_id",)) -> DataFrame:
     """(keep, message_id): the first Message-ID of each message that parses, or null."""
     values = F.transform(fields.assoc(fields.header(F.col(raw_col)), "message-id"), lambda f: f["value"])
-    # a generator between them, since Spark loses a Python function whose argument compares lambda variables
-    rows = mails.select(*keep, F.explode(F.array(F.coalesce(values, F.array().cast("array<string>")))).alias("_ids"))
-    return rows.select(*keep, words.first_message_id(F.col("_ids")).alias("message_id"))
+    return mails.select(*keep, words.first_message_id(values).alias("message_id"))
 
 
 def typed(rows: DataFrame) -> DataFrame:

@@ -119,9 +119,9 @@ def test_running_sums(spark):
 
 
 def test_encoded_words_without_python(spark):
-    frame = spark.createDataFrame([("=?ISO-8859-1?Q?Keld_J=F8rn?=",), ("=?utf-8?b?w6k=?= rest",), ("=?KOI8-R?Q?=D1?=",), ("plain",)], "x string")
+    frame = spark.createDataFrame([("=?ISO-8859-1?Q?Keld_J=F8rn?=",), ("=?utf-8?b?w6k=?= rest",), ("=?KOI8-R?Q?=D1?=",), ("=?gb2312?b?xOM=?=",), ("plain",)], "x string")
     got = frame.select(words.encoded_word_native(F.col("x")).alias("w")).collect()
-    assert [r.w and r.w["data"] for r in got] == ["Keld Jørn", "é", None, None]
+    assert [r.w and r.w["data"] for r in got] == ["Keld Jørn", "é", "я", None, None]
 
 
 def test_typed_fields(spark):
