@@ -82,7 +82,7 @@ def refined(rows: DataFrame) -> DataFrame:
 
 def repeated(rows: DataFrame, alike: DataFrame) -> DataFrame:
     """(r) of documents whose text a smaller id has; alike: the classes of ``refined``."""
-    # the same join at every size: how many are alike grows with the rows
+    # the same join at every size, not a broadcast where few are alike: how many are alike grows with the rows
     texts = rows.select("r", "t").hint("merge").join(alike, "r")
     firsts = stash(texts.groupBy("cls", "t").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).select("cls", "first", "n"), "firsts")
     classes = stash(firsts.groupBy("cls").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.count("*").alias("texts")), "classes")
