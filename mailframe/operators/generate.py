@@ -62,3 +62,32 @@ def messages(parts: DataFrame, key: str = "mail_id") -> DataFrame:
         one = F.concat(fields.render(F.col("header")), F.lit(CRLF), F.element_at("_parts", 1))
         done = joined.withColumn("out", F.when(F.col("kind") == "leaf", F.col("out")).when(F.col("kind") == "multipart", many).otherwise(one)).drop("_k", "_p", "_parts", "_mark", "_head")
     return done.select(F.col(key), F.col("out").cast("binary").alias("raw"))
+
+
+#: Last entries of a piece's place: before a part, a part itself, behind the parts in it, behind a part.
+_OPENS, _OWN, _CLOSES, _ENDS = -2, -1, (1 << 31) - 1, 0
+
+
+def pieces(parts: DataFrame, key: str = "mail_id") -> DataFrame:
+    """(key, place, data): the bytes of ``messages`` as rows, which a key's rows in the order of ``place`` make.
+
+    No row holds more than one part, so a message may have any number of parts and any size. Texts stay where they are: only
+    keys and paths meet, in one join of parts with their parents' boundaries. Rows must make trees; a message in a part has one part.
+    """
+    rows = parts.select(F.col(key), "path", "kind", "header", "text", "encoding")
+    place = lambda *last: F.concat(F.col("path"), F.array(*map(F.lit, last)))
+    own = boundary(F.col(key), F.col("path"))
+    head = F.when(F.col("kind") == "multipart", multipart_header(F.col("header"), own)).otherwise(F.col("header"))
+    leaf = part(F.col("header"), F.coalesce("text", F.lit("")), F.coalesce("encoding", F.lit("7bit")))
+    texts = rows.select(key, place(_OWN).alias("place"), F.when(F.col("kind") == "leaf", leaf).otherwise(F.concat(fields.render(head), F.lit(CRLF))).alias("data"))
+    marks = rows.where("kind = 'multipart'").select(F.col(key), "path", F.coalesce(ctype.boundary(ctype.parse(fields.last(head, "content-type"))), own).alias("mark"))
+    ends = marks.select(key, place(_CLOSES, _OWN).alias("place"), F.concat(F.lit("--"), "mark", F.lit("--" + CRLF)).alias("data"))
+    below = parts.where(F.size("path") > 0).select(F.col(key).alias("_k"), F.col("path").alias("_path"), F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))).alias("_up"))
+    around = below.join(marks, F.col("_k").eqNullSafe(F.col(key)) & (F.col("_up") == F.col("path"))).select(key, F.col("_path").alias("path"), "mark")
+    lines = F.array(F.struct(place(_OPENS).alias("place"), F.concat(F.lit("--"), "mark", F.lit(CRLF)).alias("data")), F.struct(place(_CLOSES, _ENDS).alias("place"), F.lit(CRLF).alias("data")))
+    return texts.unionByName(ends).unionByName(around.select(key, F.inline(lines))).withColumn("data", F.col("data").cast("binary"))
+
+
+def write_pieces(made: DataFrame, path: str, key: str = "mail_id") -> None:
+    """Pieces as Parquet by ranges of (key, place): a large message is several tasks' work, and files are in order."""
+    made.repartitionByRange(F.col(key), F.col("place")).sortWithinPartitions(key, "place").write.mode("errorifexists").parquet(path)

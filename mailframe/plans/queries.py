@@ -6,13 +6,16 @@ tables alone what reading them must give.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import address, codec, ctype, dates, fields, let, registry, text, words
-from ..operators import generate, headers, mime
+from ..operators import chunks, generate, headers, mime
+from ..streaming import mail as streams
 from . import synth
 from .synth import table
 
@@ -115,6 +118,54 @@ def src10_multipart_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("doc_id", F.array_join("path", ".").alias("path"), F.md5("body").alias("body_md5"), "has_body")
 
 
+def _shared(spark: SparkSession) -> str:
+    """A folder of one query's own where all executors write: below spark.checkpoint.dir, which a local session without one sets."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that executors share")
+        root = tempfile.mkdtemp(prefix="mailframe-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root}/mailframe-{uuid.uuid4().hex}"
+
+
+def _cut(raw: Column, size: int) -> Column:
+    """The rows (n, data) of a value cut every size bytes."""
+    return F.inline(F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(raw) / size).cast("int") - 1, F.lit(0))), lambda i: F.struct(i.alias("n"), F.substr(raw, i * size + 1, F.lit(size)).alias("data"))))
+
+
+_CHUNKED = f"""SELECT mail_id, path, CAST(CASE WHEN kind = 'leaf' THEN body_bytes END AS BIGINT) AS bytes, CASE WHEN kind = 'leaf' THEN body_sha256 END AS body_sha256, kind, ty, subty FROM (
+SELECT doc_id AS mail_id, '' AS path, NULL AS body_bytes, NULL AS body_sha256, 'multipart' AS kind, 'multipart' AS ty, 'mixed' AS subty FROM documents
+UNION ALL SELECT doc_id, '0', octet_length(encode({WIRE})), sha256({WIRE}), 'leaf', 'text', 'plain' FROM documents
+UNION ALL SELECT doc_id, '1', NULL, NULL, 'multipart', 'multipart', 'alternative' FROM documents
+UNION ALL SELECT doc_id, '1.0', octet_length(encode(lang)), sha256(lang), 'leaf', 'text', 'plain' FROM documents
+UNION ALL SELECT doc_id, '1.1', octet_length(encode(source)), sha256(source), 'leaf', 'text', 'html' FROM documents)"""
+
+
+@query(_CHUNKED)
+def src8_body_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees written in pieces and read as chunks, joined only to be compared (SRC2, SRC8, SNK6, SNK8)."""
+    c = chunks.of_pieces(generate.pieces(synth.parts(spark, sf_dir)), order="place", size=1 << 16)
+    whole = c.groupBy("mail_id", "path").agg(F.array_sort(F.collect_list(F.struct("n", "body"))).alias("c"), F.max("kind").alias("kind"), F.max("ty").alias("ty"), F.max("subty").alias("subty"))
+    body = F.when(F.col("kind") == "leaf", F.aggregate("c", F.lit(b""), lambda a, x: F.concat(a, x["body"])))
+    return whole.withColumn("b", body).select("mail_id", F.array_join("path", ".").alias("path"), F.length("b").cast("long").alias("bytes"), F.sha2("b", 256).alias("body_sha256"), "kind", "ty", "subty")
+
+
+@query(f"""SELECT doc_id AS mail_id, ord, name, value FROM (
+SELECT doc_id, 0 AS ord, 'From' AS name, ' "Writer '||doc_id||'" <'||{SENDER}||'>' AS value FROM documents
+UNION ALL SELECT doc_id, 1, 'Subject', ' '||{SUBJECT}||' '||{SUBJECT} FROM documents
+UNION ALL SELECT doc_id, 2, 'Message-ID', ' '||{MSGID} FROM documents)""")
+def src3_resumed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers that a stream brings in pieces of 23 bytes, over several micro-batches (SRC3, SRC5, streaming)."""
+    d, folder = synth.documents(spark, sf_dir), _shared(spark)
+    raw = _cat("From: \"Writer ", F.col("doc_id"), "\" <", F.col("sender"), ">\r\nSubject: ", F.col("subject"), "\r\n ", F.col("subject"), "\r\nMessage-ID: ", F.col("msgid"), "\r\n\r\n")
+    d.select(F.col("doc_id").alias("mail_id"), _cut(raw.cast("binary"), 23)).withColumn("half", F.col("n") % 2).repartition("half").drop("half").write.parquet(f"{folder}/in")
+    fed = spark.readStream.schema("mail_id bigint, n int, data binary").option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    run = streams.resumed(fed).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("mail_id", "ord", "name", "value")
+
+
 @query("SELECT doc_id, md5(text) AS body_md5, TRUE AS bad_is_null FROM documents")
 def src14_base64(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folded base64 to bytes; a foreign character makes it null (SRC14, SNK2)."""
@@ -325,9 +376,13 @@ def fn5_prefixed_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", fields.prefixed_by("content", name).alias("content"), fields.prefixed_by("resent", name).alias("other"), fields.prefixed_by("from", F.lit("From")).alias("dashless"), F.element_at(m, "from").alias("found"))
 
 
-@query(f"SELECT unnest([{','.join(repr(x) for x in fields.NAMES)}]) AS name")
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Reply-To' WHEN 1 THEN 'Message-ID' ELSE NULL END AS name FROM customer")
 def fn6_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in fields.NAMES], "name string")
+    """Names of rows in any case, looked up among the constants; a name of the row's own is none of them."""
+    names = F.map_from_arrays(F.array(*(F.lit(x.lower()) for x in fields.NAMES)), F.array(*map(F.lit, fields.NAMES)))
+    k = F.col("c_custkey") % 3
+    name = F.when(k == 0, "REPLY-to").when(k == 1, "message-id").otherwise(_cat("x-", F.col("c_name")))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.try_element_at(names, F.lower(name)).alias("name"))
 
 
 # -- dates -------------------------------------------------------------------------------------------------------

@@ -52,7 +52,12 @@ def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(mail_id, raw): mixed [text in an encoding, alternative [language, source]] for each document."""
+    """(mail_id, raw) of ``parts``."""
+    return generate.messages(parts(spark, sf_dir))
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of a message of each document: mixed [text in an encoding, alternative [language, source]]."""
     docs = documents(spark, sf_dir)
     typed = lambda ty, enc: fields.of_pairs((F.lit("content-type"), ty), (F.lit("content-transfer-encoding"), enc))
     node = lambda path, kind, head, text, enc: F.struct(F.array(*map(F.lit, path)).cast("array<int>").alias("path"), F.lit(kind).alias("kind"), head.alias("header"), text.alias("text"), enc.alias("encoding"))
@@ -64,5 +69,4 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         node((1, 0), "leaf", typed(F.lit("text/plain"), F.lit("7bit")), F.col("lang"), F.lit("7bit")),
         node((1, 1), "leaf", typed(F.lit("text/html"), F.lit("base64")), F.col("source"), F.lit("base64")),
     )
-    parts = docs.select(F.col("doc_id").alias("mail_id"), F.inline(rows))
-    return generate.messages(parts)
+    return docs.select(F.col("doc_id").alias("mail_id"), F.inline(rows))
