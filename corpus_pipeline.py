@@ -2,6 +2,7 @@
 
 1. Language: documents whose language isn't known go (no letters, unlike all languages, or no clear posterior).
 2. Near-duplicates: of each component of texts with a 5-word Jaccard similarity of 0.8 or more, the document with the least id stays.
+   Links within SimHash's radius come from its tree and are compared on words; an exact search finds those beyond it.
 3. Decontamination: documents that hold a benchmark item go.
 4. Mixing: each document appears as often as the blocks that its source's quota takes hold its first word, 0 to 2 times.
 5. Token files: ids of all that is left, in ascending doc_id, in files; a row a document from the files.

@@ -3,6 +3,10 @@
 Words, A-Z in lower case, give shingles of five; fewer words are one shingle, the whole sequence. Texts of the same words
 are copies, known by 64 bits of hash. Texts without words are copies of each other.
 
+SimHash. Fingerprints, the vantage-point tree and star components are those of ``simhash``: what lies within its radius is linked
+first, each link of a spanning forest compared on words. A radius of 3 bits holds texts that differ in little; at a similarity of 0.8
+fingerprints differ in up to 17 of 64 bits and more, where a tree sends every fingerprint both ways. What the tree leaves apart is searched for exactly:
+
 Search. All shingles stand in one order. Of a text of n shingles the first n - ceil(0.8 n) + 1 in that order are its
 prefix. Two similar texts share at least ceil(0.8 n) shingles of either, so their prefixes meet: no pair is missed, at any length.
 The order is by hash, after which come common shingles, such as license lines, so that few pairs meet in them only: those that
@@ -10,14 +14,11 @@ most of a sample's texts hold. The sample is a share of the texts, so that what
 
 No pairs are made under a shingle. All texts of a shingle go to the group of its least text, and a group's texts are compared in memory, in
 blocks of bounded size, by parity bitmaps of ``BITS`` bits: a shingle flips one bit, so that two texts differ in at least as many shingles as their
-bitmaps in bits; and two texts that share few shingles of their prefixes with any text can't share many. First a group gives a spanning forest of the pairs that may be similar by that bound, of the least differences, so that large groups of near copies are
+bitmaps in bits; and two texts that share few shingles of their prefixes with any text can't share many. First a group gives a spanning forest of the pairs that may be similar by that bound, of the least differences, between what SimHash left apart, so that large groups of near copies are
 joined by fewer pairs than they have texts. A large group does so within each of its blocks, where some ``PIVOTS`` of its texts come to all blocks and join what the
 blocks find, so that this is linear in the group. Then it gives the pairs that may be similar between different components, each from the first group that both are
 in: texts of one component are not compared any more, and blocks of one component don't meet, so that what is left to compare is what the forest left apart. All pairs that leave a group are compared on their words before they join anything.
 
-A fingerprint's radius can't do this: at a similarity of 0.8 fingerprints differ in up to 17 of 64 bits and more, where a
-vantage-point tree sends every fingerprint both ways.
-
 Null texts are empty texts. Repeated rows and ids count once. An empty table gives no rows.
 """
 
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from . import simhash
 from .common import inner_join, left_join, salted_join, semi_join, stash, unstash
 from .decontaminate import _shingles
 from .simhash import components
@@ -79,17 +81,18 @@ def common(docs: DataFrame, text_col: str) -> np.ndarray:
 
 
 def prefixes(df: DataFrame, last: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """df, whose last column is a text as binary, with key, n, prefix and bits (the parity bitmap) in the text's place."""
-    names, plain = [*df.columns[:-1], "key", "n", "prefix", "bits"], df.drop(df.columns[-1]).schema
-    out = T.StructType([*plain.fields, T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())])
+    """df, whose last column is a text as binary, with key, n, prefix, bits (the parity bitmap) and fp (the SimHash fingerprint) in the text's place."""
+    names, plain = [*df.columns[:-1], "key", "n", "prefix", "bits", "fp"], df.drop(df.columns[-1]).schema
+    out = T.StructType([*plain.fields, T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType()), T.StructField("fp", T.LongType())])
     sent = df.sparkSession.sparkContext.broadcast(last)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, late = _Hashes(), sent.value
         for b in batches:
-            keys, sizes, firsts, bits = [], [], [], []
+            keys, sizes, firsts, bits, fps = [], [], [], [], []
             for t in b.columns[-1]:
                 words = (t.as_py() or b"").lower().split()
+                fps.append(simhash.fingerprint(t.as_py()))
                 h = _hashed(words, hashes)
                 if len(late) and len(h):
                     is_late = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h
@@ -100,11 +103,26 @@ def prefixes(df: DataFrame, last: np.ndarray, threshold: float = THRESHOLD) -> D
                 firsts.append(h[: len(h) - int(np.ceil(threshold * len(h) - 1e-9)) + 1].view(np.int64))
             at = np.concatenate([[0], np.cumsum([len(x) for x in firsts])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists, pa.array(bits, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists, pa.array(bits, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64))], names=names)
 
     return df.mapInArrow(each, out)
 
 
+def linked(known: DataFrame) -> DataFrame:
+    """(a, b): keys, a below b, of texts that the vantage-point tree links, a written table: as connected as all fingerprints within its radius.
+
+    Each fingerprint stands for its text of the least key; the other texts of a fingerprint are linked to that one.
+    """
+    least = stash(known.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("c")), "fingerprints")
+    found = simhash.pairs(least.select("fp"))
+    one = stash(left_join(found, least.select(F.col("fp").alias("a"), F.col("least").alias("x")), ["a"]).select("b", "x"), "one")
+    both = left_join(one, least.select(F.col("fp").alias("b"), F.col("least").alias("y")), ["b"]).select("x", "y")
+    same = inner_join(known.select("fp", "key"), least.where("c > 1"), ["fp"], "c").where("key <> least").select(F.col("least").alias("x"), F.col("key").alias("y"))
+    out = stash(both.unionAll(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "linked")
+    unstash(least, found, one)
+    return out
+
+
 def shared_shingles(known: DataFrame) -> DataFrame:
     """(h, key) of the shingles in the prefixes of more texts than one."""
     rows = stash(known.select("key", F.explode("prefix").alias("h")), "prefix-rows")
@@ -117,8 +135,8 @@ def shared_shingles(known: DataFrame) -> DataFrame:
 class _Group:
     """A group's texts, of one block or of two of which only pairs across count."""
 
-    def __init__(self, n: np.ndarray, met: np.ndarray, key: np.ndarray, bits: np.ndarray, block: np.ndarray, across: bool, threshold: float) -> None:
-        self.n, self.met, self.key, self.bits, self.block, self.across, self.threshold = n, met, key, bits, block, across, threshold
+    def __init__(self, n: np.ndarray, met: np.ndarray, key: np.ndarray, bits: np.ndarray, block: np.ndarray, root: np.ndarray, across: bool, threshold: float) -> None:
+        self.n, self.met, self.key, self.bits, self.block, self.root, self.across, self.threshold = n, met, key, bits, block, root, across, threshold
 
     def rows(self, which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For some texts at a time of those asked for, their share of differing shingles with all, at least, and which pairs may be similar."""
@@ -138,11 +156,12 @@ class _Group:
             yield x, differ / np.maximum(sizes, 1), may
 
     def forest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs that span the group's possible pairs: in each round every component takes its least difference to another."""
-        of = np.arange(len(self.key))
+        """Pairs that span the group's possible pairs between its roots: in each round every component but the largest takes its least difference to another."""
+        _, first, place = np.unique(self.root, return_index=True, return_inverse=True)
+        of = first[place]
         while True:
             best, to = np.full(len(of), np.inf), np.zeros(len(of), np.int64)
-            for x, share, may in self.rows(np.arange(len(of))):
+            for x, share, may in self.rows(np.flatnonzero(of != np.bincount(of).argmax())):
                 share = np.where(may & (of[x, None] != of[None, :]), share, np.inf)
                 to[x] = share.argmin(axis=1)
                 best[x] = share[np.arange(len(share)), to[x]]
@@ -164,9 +183,10 @@ class _Group:
             x = int(of[x])
         return x
 
-    def pairs(self, groups: np.ndarray, group: int, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(self, groups: np.ndarray, group: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Possible pairs of different components that no earlier group has: the texts outside the largest component are compared with all."""
-        roots, place, sizes = np.unique(root, return_inverse=True, return_counts=True)
+        root = self.root
+        _, place, sizes = np.unique(root, return_inverse=True, return_counts=True)
         largest = place == sizes.argmax()
         for x, _, may in self.rows(np.flatnonzero(~largest)):
             i, j = np.nonzero(may & (root[x, None] != root[None, :]) & (largest[None, :] | (self.key[x, None] < self.key[None, :])))
@@ -209,14 +229,19 @@ def _blocks(large: DataFrame, forest: bool) -> tuple[DataFrame, list[DataFrame]]
     return placed.select("leader", "key", "at", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block"), [own, groups]
 
 
+def rooted(known: DataFrame, roots: DataFrame) -> DataFrame:
+    """known with the least key of each text's component; roots: a in b's."""
+    return known.join(roots.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
 def meetings(shared: DataFrame, known: DataFrame, roots: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
-    """The texts of each group under the cells (at, i, j) in which they are compared, and the tables that this reads."""
+    """The texts of each group under the cells (at, i, j) in which they are compared, and the tables that this reads; known may have roots for a forest."""
     least = stash(shared.groupBy("h").agg(F.min("key").alias("leader"), F.count("*").alias("c")), "least")
     led = stash(inner_join(shared, least, ["h"], "c").select("leader", "key").distinct(), "led")
     total = led.count()
     # the least groups of a text, by which a pair of two groups is known; leaving some out only makes a pair twice
     first = led.groupBy("key").agg(F.slice(F.sort_array(F.collect_set("leader")), 1, KNOWN).alias("groups"))
-    of = known.select("key", "n", "bits", F.col("key").alias("root")) if roots is None else known.select("key", "n", "bits").join(roots.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    of = known.select("key", "n", "bits", "root" if "root" in known.columns else F.col("key").alias("root")) if roots is None else rooted(known.select("key", "n", "bits"), roots)
     texts = of.join(first, "key").join(shared.groupBy("key").agg(F.count("*").alias("met")), "key")
     sizes = stash(led.groupBy("leader").agg(F.count("*").alias("m")).where("m > 1").withColumn("c", F.col("m")), "sizes")
     slim = inner_join(led, sizes, ["leader"], "c")
@@ -244,8 +269,8 @@ def candidates(shared: DataFrame, known: DataFrame, threshold: float = THRESHOLD
         edges = np.flatnonzero(np.diff(of, prepend=of[0] - 1 if of[0] > np.iinfo(np.int64).min else of[0] + 1)) if len(of) else np.zeros(0, np.int64)
         found = [(np.zeros(0, np.int64),) * 2]
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(of)], strict=True):
-            g = _Group(n[a:b], met[a:b], key[a:b], bits[a:b], block[a:b], across, threshold)
-            found += g.forest() if forest else g.pairs(groups[a:b], int(of[a]), root[a:b])
+            g = _Group(n[a:b], met[a:b], key[a:b], bits[a:b], block[a:b], root[a:b], across, threshold)
+            found += g.forest() if forest else g.pairs(groups[a:b], int(of[a]))
         x, y = (np.concatenate([f[i] for f in found]) for i in (0, 1))
         return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
 
@@ -317,17 +342,19 @@ def first_of_each(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     slim = marked.select("id", *own, "t")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", *own)).alias("best")
     rows = stash(prefixes(slim, common(df, text_col), threshold), "prefixes")
-    known = stash(rows.groupBy("key").agg(best, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "distinct")
+    known = stash(rows.groupBy("key").agg(best, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.first("fp").alias("fp")), "distinct")
     # rows that are the same in all columns
     same = stash(rows.groupBy(*own).agg(F.count("*").alias("n")).where("n > 1").select(*own), "same")
     unstash(rows)
+    # what the tree links, by words; then what it left apart
+    tree = verified(linked(known), known, marked, own, threshold)
     shared = shared_shingles(known)
-    near = verified(candidates(shared, known, threshold), known, marked, own, threshold)
-    more = verified(candidates(shared, known, threshold, components(near)), known, marked, own, threshold)
-    roots = components(near.unionAll(more))
+    near = verified(candidates(shared, rooted(known, components(tree)), threshold), known, marked, own, threshold)
+    more = verified(candidates(shared, known, threshold, components(tree.unionAll(near))), known, marked, own, threshold)
+    roots = components(tree.unionAll(near).unionAll(more))
     best = known.join(roots.withColumnRenamed("a", "key"), "key", "left").groupBy(F.coalesce("b", "key").alias("root")).agg(F.min("best").alias("best")).select(*(F.col(f"best.{x}").alias(x) for x in own))
     kept = stash(best.join(same.withColumn("again", F.lit(True)), own, "left"), "kept")
-    unstash(known, shared, near, more, same)
+    unstash(known, shared, tree, near, more, same)
     # of rows that are the same one stays; they meet before they move
     single = marked.join(kept.where("again IS NULL").select(*own), own, "left_semi")
     return single.unionAll(marked.join(kept.where("again").select(*own), own, "left_semi").dropDuplicates(own)).select("row.*")

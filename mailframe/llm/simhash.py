@@ -139,10 +139,11 @@ class Tree:
 
 
 class _Groups:
-    """Least-index labels of points joined by pairs; pairs are folded in as they come."""
+    """Least-index labels of points joined by pairs; pairs are folded in as they come. ``joined`` (if kept): a spanning forest of them."""
 
-    def __init__(self, n: int) -> None:
+    def __init__(self, n: int, keep: bool = False) -> None:
         self.of, self.waiting, self.held = np.arange(n), [], 0
+        self.keep, self.joined = keep, [(np.zeros(0, np.int64),) * 2]
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
         self.waiting.append((a, b))
@@ -160,6 +161,11 @@ class _Groups:
                 a, b = a[differ], b[differ]
                 low, high = np.minimum(x, y)[differ], np.maximum(x, y)[differ]
                 np.minimum.at(self.of, high, low)
+                if self.keep:
+                    # one pair for each label that a lesser one takes in
+                    won = np.flatnonzero(self.of[high] == low)
+                    won = won[np.unique(high[won], return_index=True)[1]]
+                    self.joined.append((a[won], b[won]))
                 while (self.of[self.of] != self.of).any():
                     self.of = self.of[self.of]
         return self.of
@@ -186,19 +192,35 @@ def _meet(a: np.ndarray, b: np.ndarray, ia: np.ndarray, ib: np.ndarray, radius:
         _meet(a[ring], b[lo:hi], ia[ring], ib[lo:hi], radius, groups, depth + 1)
 
 
-def _stars(home: np.ndarray, others: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, least of its group) of the groups that the links between home and others make."""
+def _stars(home: np.ndarray, others: np.ndarray, radius: int, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, least of its group) of the groups that the links between home and others make; pairs: links that span them."""
     points = np.unique(np.concatenate([home, others]))
-    groups = _Groups(len(points))
+    groups = _Groups(len(points), pairs)
     home, others = np.unique(home), np.unique(others)
     _meet(home, others, np.searchsorted(points, home), np.searchsorted(points, others), radius, groups)
     of = groups.fold()
+    if pairs:
+        a, b = (np.concatenate(x) for x in zip(*groups.joined, strict=True))
+        return points[a].view(np.int64), points[b].view(np.int64)
     at = np.flatnonzero(of != np.arange(len(points)))
     return points[at].view(np.int64), points[of[at]].view(np.int64)
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Stars (a, b) over a column ``fp`` of distinct fingerprints: as connected as all pairs within the radius."""
+    return _links(distinct, radius, False)[0]
+
+
+def pairs(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b), a below b, a written table: as ``links``, but each within the radius, so that what is linked can be compared."""
+    found, read = _links(distinct, radius, True)
+    out = stash(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    unstash(*read)
+    return out
+
+
+def _links(distinct: DataFrame, radius: int, real: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """Stars, or links that span them, of each block of the tree's leaves, and the tables that this reads."""
     n = distinct.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n) / HOME))))
     # a share of the hashes' range that holds half of the sample's bound on average: no sort, no exchange
@@ -235,10 +257,10 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     def block(t: pa.Table) -> pa.Table:
         fp, home = t.column("fp").to_numpy().view(np.uint64), t.column("home").to_numpy()
-        x, y = _stars(fp[home], fp[~home], radius)
+        x, y = _stars(fp[home], fp[~home], radius, real)
         return pa.table({"a": pa.array(x), "b": pa.array(y)})
 
-    return a.unionAll(b).groupBy("leaf", "i", "j").applyInArrow(block, "a long, b long")
+    return a.unionAll(b).groupBy("leaf", "i", "j").applyInArrow(block, "a long, b long"), [dealt, grids]
 
 
 def components(edges: DataFrame) -> DataFrame:

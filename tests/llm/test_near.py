@@ -5,7 +5,7 @@ import re
 
 import corpus_pipeline
 import pytest
-from mailframe.llm import common, near
+from mailframe.llm import common, near, simhash
 from pyspark.sql import functions as F
 
 from .conftest import DOC
@@ -138,6 +138,36 @@ def test_common_shingles_of_a_share(spark, monkeypatch):
     assert counts[0] > 10 * counts[2] and counts[2] <= 15 * 4
 
 
+def test_simhash_links_by_its_tree(spark, monkeypatch):
+    """Near copies within three bits, or of one fingerprint, are linked by the tree alone and compared on words; the search then has only the others."""
+    rng = random.Random(5)
+    docs = []
+    for i in range(40):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        docs.append((10 * i, " ".join(w)))
+        # one word, then each word of twenty
+        for k, step in enumerate((300, 300, 20)):
+            docs.append((10 * i + k + 1, " ".join(rng.choice(("x", "y")) + v if j % step == 7 else v for j, v in enumerate(w))))
+    # one fingerprint of texts that are not similar, since shingles that are the same count
+    docs += [(1000, "a b c " * 50 + "d"), (1001, "a b c " * 50 + "e f g h")]
+    prints = {i: simhash.fingerprint(t.encode()) for i, t in docs}
+    sets = {i: near.shingles(t.encode()) for i, t in docs}
+    within = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
+    assert (1000, 1001) in within and not near.similar(sets[1000], sets[1001])
+    of = {i: i for i, _ in docs}
+    for a, b in sorted(within):
+        if near.similar(sets[a], sets[b]):
+            low, high = sorted((of[a], of[b]))
+            of = {i: low if r == high else r for i, r in of.items()}
+    by_tree = set(of.values())
+    assert len(brute(docs)) < len(by_tree) < len(docs) - 20
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in near.first_of_each(frame).collect()} == brute(docs)
+    # nothing but the tree
+    monkeypatch.setattr(near, "shared_shingles", lambda known, made=near.shared_shingles: near.stash(made(known).where("false")))
+    assert {r.doc_id for r in near.first_of_each(frame).collect()} == by_tree
+
+
 def test_odd_rows(spark, odd, none):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     kept = near.first_of_each(odd)

@@ -91,3 +91,23 @@ def test_links_in_a_deep_tree(spark, monkeypatch, home):
 def test_components_of_a_long_chain(spark):
     edges = spark.range(300).select((F.col("id") + 1).alias("a"), F.col("id").alias("b"))
     assert {(r.a, r.b) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(1, 301)}
+
+
+def test_pairs_are_links_that_span(spark, monkeypatch):
+    """Each pair lies within the radius, and the pairs are as connected as all are; few more than there are fingerprints."""
+    rng = random.Random(3)
+    points = set()
+    for _ in range(40):
+        x = rng.getrandbits(64)
+        points.add(x)
+        for _ in range(rng.choice((2, 40))):
+            x ^= 1 << rng.randrange(64) | 1 << rng.randrange(64)
+            points.add(x)
+    for name, value in (("HOME", 16), ("BLOCK", 64), ("AT_ONCE", 256)):
+        monkeypatch.setattr(simhash, name, value)
+    signed = [(x - (1 << 64) if x >> 63 else x,) for x in points]
+    got = [tuple(r) for r in simhash.pairs(spark.createDataFrame(signed, "fp long")).collect()]
+    assert all(a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3 for a, b in got)
+    of = {r.a: r.b for r in simhash.components(spark.createDataFrame(got, "a long, b long")).collect()}
+    _, groups = brute_components([(x, x) for x in points])
+    assert len(points) - len(of) == len(groups) and len(got) < 4 * len(points)
