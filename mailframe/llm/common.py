@@ -85,12 +85,12 @@ def semi_join(rows: DataFrame, found: DataFrame, keys: list[str], n: str) -> Dat
     """rows whose keys are in ``found``: a written table with a row a key and, in n, how many of the rows have it.
 
     Hot keys, at most ``HOT`` by their definition, are broadcast, so that their rows stay where they are; the
-    others meet by a shuffle that no key fills.
+    others meet by a shuffle that no key fills. If no key is hot, that is all there is to prepare.
     """
-    total = found.agg(F.sum(n)).first()[0] or 0
-    if total <= HOT:  # no key can be hot
+    total, largest = found.agg(F.sum(n), F.max(n)).first()
+    most = hot_bound(total or 0)
+    if (largest or 0) <= most:
         return rows.join(found.select(*keys), keys, "left_semi")
-    most = hot_bound(total)
     hot = F.broadcast(found.where(F.col(n) > most).select(*keys))
     others = rows.join(hot, keys, "left_anti").join(found.where(F.col(n) <= most).select(*keys), keys, "left_semi")
     return rows.join(hot, keys, "left_semi").unionAll(others)
@@ -98,10 +98,12 @@ def semi_join(rows: DataFrame, found: DataFrame, keys: list[str], n: str) -> Dat
 
 def inner_join(rows: DataFrame, found: DataFrame, keys: list[str], n: str, total: int | None = None) -> DataFrame:
     """rows joined to ``found`` as in ``semi_join``, with found's other columns but n; total: the sum of n or more, if it is known."""
-    total = (found.agg(F.sum(n)).first()[0] or 0) if total is None else total
-    if total <= HOT:
-        return rows.join(found.drop(n), keys)
+    largest = total
+    if total is None:
+        total, largest = (x or 0 for x in found.agg(F.sum(n), F.max(n)).first())
     most = hot_bound(total)
+    if largest <= most:
+        return rows.join(found.drop(n), keys)
     hot, others = (found.where(x).drop(n) for x in (F.col(n) > most, F.col(n) <= most))
     return rows.join(F.broadcast(hot), keys).unionAll(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(others, keys))
 
@@ -125,10 +127,10 @@ def salted_join(rows: DataFrame, found: DataFrame, key: str, by: DataFrame) -> D
     A hot key's rows are dealt over as many places as they have bounds, and its row of ``found`` goes to each; ``by`` has the
     keys of rows to count.
     """
-    total = by.count()
-    if total <= HOT:
+    total, largest = by.groupBy(key).agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    most = hot_bound(total or 0)
+    if (largest or 0) <= most:
         return rows.join(found, key)
-    most = hot_bound(total)
     hot = F.broadcast(by.groupBy(key).agg(F.ceil(F.count("*") / most).alias("_places")).where("_places > 1"))
     places = F.coalesce("_places", F.lit(1))
     dealt = rows.join(hot, key, "left").withColumn("_place", F.pmod(F.xxhash64(*by.columns), places)).drop("_places")

@@ -235,7 +235,10 @@ def rooted(known: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def meetings(shared: DataFrame, known: DataFrame, roots: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
-    """The texts of each group under the cells (at, i, j) in which they are compared, and the tables that this reads; known may have roots for a forest."""
+    """The texts of each group under the cells (at, i, j) in which they are compared, and the tables that this reads; known may have roots for a forest.
+
+    The cells are written before texts come to them: a plan of both would have the driver prepare the stages of all its scans at once.
+    """
     least = stash(shared.groupBy("h").agg(F.min("key").alias("leader"), F.count("*").alias("c")), "least")
     led = stash(inner_join(shared, least, ["h"], "c").select("leader", "key").distinct(), "led")
     total = led.count()
@@ -247,9 +250,14 @@ def meetings(shared: DataFrame, known: DataFrame, roots: DataFrame | None = None
     slim = inner_join(led, sizes, ["leader"], "c")
     # small groups share tasks; a group of many texts is cut into blocks before its texts' bitmaps come to them
     small = slim.where(F.col("m") <= BLOCK).select("leader", "key", F.pmod(F.xxhash64("leader"), F.lit(total // BLOCK + 1)).alias("at"), *(F.lit(0).alias(x) for x in ("i", "j", "block")))
-    large = stash(slim.where(F.col("m") > BLOCK).join(of.select("key", "root"), "key").select("leader", "key", "root", "m"), "large")
-    cells, read = _blocks(large, roots is None)
-    return small.unionByName(cells).join(texts, "key"), [least, led, sizes, large, *read]
+    cells, read = small, []
+    if (sizes.agg(F.max("m")).first()[0] or 0) > BLOCK:
+        large = stash(slim.where(F.col("m") > BLOCK).join(of.select("key", "root"), "key").select("leader", "key", "root", "m"), "large")
+        cut, read = _blocks(large, roots is None)
+        cells, read = small.unionByName(cut), [large, *read]
+    cells = stash(cells, "cells")
+    unstash(least, sizes, *read)
+    return cells.join(texts, "key"), [led, cells]
 
 
 def candidates(shared: DataFrame, known: DataFrame, threshold: float = THRESHOLD, roots: DataFrame | None = None) -> DataFrame:
@@ -334,6 +342,13 @@ def verified(pairs: DataFrame, known: DataFrame, marked: DataFrame, own: list[st
     return out
 
 
+def joined(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """The components of roots and what was found between them, both written tables that go."""
+    out = components(roots.unionAll(found))
+    unstash(roots, found)
+    return out
+
+
 def first_of_each(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One whole row of df for each component of similar texts: the one with the least id (null last), then the least hash of the row."""
     own, row = ["own1", "own2"], F.struct("*")
@@ -349,12 +364,15 @@ def first_of_each(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     # what the tree links, by words; then what it left apart
     tree = verified(linked(known), known, marked, own, threshold)
     shared = shared_shingles(known)
-    near = verified(candidates(shared, rooted(known, components(tree)), threshold), known, marked, own, threshold)
-    more = verified(candidates(shared, known, threshold, components(tree.unionAll(near))), known, marked, own, threshold)
-    roots = components(tree.unionAll(near).unionAll(more))
+    roots = components(tree)
+    near = verified(candidates(shared, rooted(known, roots), threshold), known, marked, own, threshold)
+    # stars are as connected as what they were made of
+    roots = joined(roots, near)
+    more = verified(candidates(shared, known, threshold, roots), known, marked, own, threshold)
+    roots = joined(roots, more)
     best = known.join(roots.withColumnRenamed("a", "key"), "key", "left").groupBy(F.coalesce("b", "key").alias("root")).agg(F.min("best").alias("best")).select(*(F.col(f"best.{x}").alias(x) for x in own))
     kept = stash(best.join(same.withColumn("again", F.lit(True)), own, "left"), "kept")
-    unstash(known, shared, tree, near, more, same)
+    unstash(known, shared, tree, same, roots)
     # of rows that are the same one stays; they meet before they move
     single = marked.join(kept.where("again IS NULL").select(*own), own, "left_semi")
     return single.unionAll(marked.join(kept.where("again").select(*own), own, "left_semi").dropDuplicates(own)).select("row.*")

@@ -168,6 +168,28 @@ def test_simhash_links_by_its_tree(spark, monkeypatch):
     assert {r.doc_id for r in near.first_of_each(frame).collect()} == by_tree
 
 
+def test_plans_are_narrow(spark, monkeypatch):
+    """No key is hot and no group large, on more rows than one could be hot in: no written table is planned from more than six others, since the driver prepares the stages of all at once."""
+    monkeypatch.setattr(common, "HOT", 20)
+    leaves, write = [], common.stash
+
+    def stash(df, what="table"):
+        leaves.append((df._jdf.queryExecution().optimizedPlan().collectLeaves().size(), what))
+        return write(df, what)
+
+    for module in (common, near, simhash):
+        monkeypatch.setattr(module, "stash", stash)
+    rng = random.Random(3)
+    docs = []
+    for i in range(60):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        for k in range(4):
+            docs.append((4 * i + k, " ".join([*w[:3], *(f"own{rng.random()}" for _ in range(rng.choice((0, 1, 3)))), *w[3:], *(["end"] * (k % 2))])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in near.first_of_each(frame).collect()} == brute(docs)
+    assert max(leaves)[0] <= 6, sorted(leaves)[-5:]
+
+
 def test_odd_rows(spark, odd, none):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     kept = near.first_of_each(odd)
