@@ -8,6 +8,7 @@
 5. Token files: ids of all that is left, in ascending doc_id, in files; a row a document from the files.
 
 All stages but the last keep the columns of ``documents``. A table may be empty at any stage.
+Stages that go through Python bound the session's batches (``common.small_batches``), since what they return is read after they end.
 """
 
 from __future__ import annotations
@@ -16,21 +17,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailframe.llm import decontaminate, langid, mixing, near, token_files
-from mailframe.llm.common import new_path, stash, unstash
+from mailframe.llm.common import new_path, small_batches, stash, unstash
 
 #: SQL has no near-duplicate, language or tokenizer functions; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return langid.accepted(docs, langid.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near.first_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -43,6 +47,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    small_batches(spark)
     out = new_path(spark, "tokens")
     token_files.write_token_files(docs, out, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return token_files.read_token_files(spark, out)

@@ -13,9 +13,21 @@ from pyspark.sql.window import Window
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Spark's bound of a batch that goes to Python, 64 MB by default; what it is lowered to.
+BATCH_KEY, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets texts go to Python in batches of about ``BATCH`` bytes, for all that the session runs from now on; a bound that the session has set itself stays.
+
+    A batch is in an executor several times at once, outside the heap and in the worker, for each task, and neither gives memory back.
+    """
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, str(BATCH))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

@@ -3,8 +3,11 @@
 from collections import Counter
 
 import corpus_pipeline
-from mailframe.llm import langid
-from mailframe.llm.common import stash
+import pyarrow as pa
+import pytest
+from mailframe.llm import langid, near
+from mailframe.llm.common import BATCH, BATCH_KEY, small_batches, stash
+from pyspark.sql import functions as F
 
 from .test_decontaminate import brute as contaminated
 from .test_mixing import WORD, brute_targets
@@ -58,3 +61,27 @@ def test_empty_table(spark, none):
         docs = stage(spark, docs, SF)
         assert docs.collect() == []
         docs = none.select("doc_id", "text", "lang", "source", "n_chars")
+
+
+@pytest.mark.parametrize("name", ["language ID", "SimHash near-dedup", "benchmark decontamination", "token files"])
+def test_small_batches(spark, none, name, monkeypatch):
+    """After a stage of Python, whose result is read later, 20 MB of texts don't go to a worker at once; a session's own bound stays."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    # many rounds over no rows; only what it leaves to the session counts here
+    monkeypatch.setattr(near, "first_of_each", lambda docs: docs)
+    docs, stage = none.select("doc_id", "text", "lang", "source", "n_chars"), dict(corpus_pipeline.STAGES)[name]
+    rows = spark.range(0, 200, 1, 1).select("id", F.repeat(F.lit("some words "), 9_500).alias("text"))
+    try:
+        spark.conf.unset(BATCH_KEY)
+        stage(spark, docs, SF)
+        got = [tuple(r) for r in rows.mapInArrow(sizes, "n long, bytes long").collect()]
+        assert sum(n for n, _ in got) == 200 and sum(x for _, x in got) > 20_000_000 and max(x for _, x in got) < 1.1 * BATCH
+        spark.conf.set(BATCH_KEY, "1m")
+        small_batches(spark)
+        assert spark.conf.get(BATCH_KEY) == "1m"
+    finally:
+        spark.conf.unset(BATCH_KEY)
